@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm import truncation
+from newsloom.llm.mixing import budgets, mix, shares
+from newsloom.llm.packing import pack
 from newsloom.llm.stripes import together
+from newsloom.llm.tokens import token_sizes
 from newsloom.llm.topn import top_n
 from newsloom.session import table
 
@@ -36,7 +40,46 @@ def p7_pairs(spark: SparkSession, d: str) -> DataFrame:
     return together(_baskets(spark, d)).select("article_a", "article_b", "n_ab", "n_a", "n_b", "n_baskets", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_best_scores, p7_found, p7_pairs)}
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(token_sizes(table(spark, d, "documents"), "text", ["doc_id"]), table(spark, d, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    capacity = table(spark, d, "container_sizes").select("container_kind", "capacity_tokens")
+    used = p8_packed(spark, d).where("container_id is not null").groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    return used.join(F.broadcast(capacity), "container_kind").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
+    targets = table(spark, d, "source_targets")
+    docs = table(spark, d, "documents").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    sizes = token_sizes(docs, "text", ["doc_id", "source"])
+    plan = budgets(sizes, targets)
+    return mix(sizes, plan), plan
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(*_p9(spark, d))
+
+
+def _p10(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    return truncation.verdicts(truncation.score(docs, "doc_id", "text", "source", truncation.fit(docs, "doc_id", "text", "source")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p10(spark, d).where("truncated").select("doc_id").distinct()
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(_p10(spark, d)).withColumn("rate", F.round("rate", 6))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_best_scores, p7_found, p7_pairs, p8_packed, p8_fill, p9_mixed, p9_shares, p10_found, p10_rates)}
 
 _TOP = """top AS (SELECT impression_id, article_id, score, row_number() OVER (PARTITION BY impression_id ORDER BY score DESC, article_id) AS place FROM (
   SELECT impression_id, article_id, max(score) AS score FROM candidate_scores WHERE score IS NOT NULL AND NOT isnan(score) AND impression_id IS NOT NULL AND article_id IS NOT NULL GROUP BY ALL))"""
