@@ -24,25 +24,31 @@ from newsloom.session import shuffle_parts, written
 CHUNK_ROWS = 50_000
 
 
-def number_rows(df: DataFrame, key: Column, order: Column, sums: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
-    """`key`, `at` (the order value), `_part`, `row_no` (0-based within the key, in order) and a column per entry of `sums`."""
+def prefix_sums(df: DataFrame, key: str, order: list[str], value: str, partitions: int | None = None) -> DataFrame:
+    """`df` (rows with a key) with `before`, the sum of `value` over the key's earlier rows in `order`, and its place `_part`, `_rid`."""
     parts = partitions or shuffle_parts(df.sparkSession)
-    rows = df.select(key.alias("key"), order.alias("at"), *(c.alias(f"s_{n}") for n, c in (sums or {}).items())).where("key is not null")
     ranged = (
-        rows.withColumn("_tie", F.monotonically_increasing_id())
-        .repartitionByRange(parts, "at", "_tie")
-        .sortWithinPartitions("at", "_tie")
+        df.where(F.col(key).isNotNull())
+        .withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *order, "_tie")
+        .sortWithinPartitions(*order, "_tie")
         .drop("_tie")
         .withColumn("_rid", F.monotonically_increasing_id())
     )
     # The range bounds come from a sample, so the partitions are frozen before they are counted.
     frozen = written(ranged).withColumn("_part", F.shiftright("_rid", 33))
-    counts = frozen.groupBy("key", "_part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("key", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    local = Window.partitionBy("key", "_part").orderBy("_rid")
-    numbered = frozen.withColumn("_local", F.row_number().over(local) - 1).join(offsets, ["key", "_part"])
-    return numbered.withColumn("row_no", F.col("_offset") + F.col("_local")).drop("_offset", "_local")
+    counts = frozen.groupBy(key, "_part").agg(F.sum(value).alias("n"))
+    earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(key, "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    local = Window.partitionBy(key, "_part").orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    summed = frozen.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0))).join(offsets, [key, "_part"])
+    return summed.withColumn("before", F.col("_offset") + F.col("_local")).drop("_offset", "_local")
+
+
+def number_rows(df: DataFrame, key: Column, order: Column, sums: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
+    """`key`, `at` (the order value), `_part`, `_rid`, `row_no` (0-based within the key, in order) and a column per entry of `sums`."""
+    rows = df.select(key.alias("key"), order.alias("at"), F.lit(1).cast("long").alias("_one"), *(c.alias(f"s_{n}") for n, c in (sums or {}).items()))
+    return prefix_sums(rows, "key", ["at"], "_one", partitions).drop("_one").withColumnRenamed("before", "row_no")
 
 
 def chunk_states(numbered: DataFrame, gap_seconds: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
