@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from newsloom.session import written
 
-#: Labelled rows the classifier is fitted on at most (as many natural texts again as artificial cuts).
+#: Natural texts the classifier is fitted on (chosen by hash, so about as many), with an artificial cut of each intact one.
 TRAIN_DOCS = 20_000
 DIMENSIONS = 2**18
 #: A word counts as ending sentences from this share of all sentence ends on, so there are at most 1 / WORD_SHARE of them.
@@ -180,8 +180,13 @@ def corpus_facts(docs: DataFrame, text: str, source: str) -> Corpus:
 
 def fit(docs: DataFrame, doc_id: str, text: str, source: str, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, Corpus]:
     corpus = corpus_facts(docs, text, source)
-    rows = docs.where(F.col(text).isNotNull()).orderBy(F.xxhash64(doc_id, F.lit(3)), doc_id).select(text, source).limit(train_docs)
-    return train([(r[0], r[1]) for r in rows.toLocalIterator()], corpus), corpus
+    n_docs = docs.where(F.col(text).isNotNull()).count()
+    # A share of the hash range, not the first rows of a sort: no task gathers more than its part of the sample.
+    place = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(3)), 11)
+    below = F.lit(min(2**53, round(2**53 * train_docs / max(1, n_docs))))
+    picked = docs.where(F.col(text).isNotNull() & (place < below)).select(place.alias("k"), text, source)
+    rows = sorted(((r[0], r[1], r[2]) for r in picked.toLocalIterator()), key=lambda r: (r[0], r[1]))
+    return train([(t, s) for _, t, s in rows], corpus), corpus
 
 
 def score(docs: DataFrame, doc_id: str, text: str, source: str, model: tuple[np.ndarray, Corpus]) -> DataFrame:
