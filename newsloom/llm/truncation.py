@@ -21,6 +21,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,7 +43,11 @@ STEP, LIMIT_SHARE, LIMIT_RATIO = 8, 0.015, 4.0
 SOURCE_SHARE = 1e-4
 THRESHOLD = 0.5
 #: A natural text scored above this (in log-odds) by the other half's model is no negative example.
-SUSPECT = -0.5
+SUSPECT = -1.0
+#: How often the negatives are cleaned of such texts.
+ROUNDS = 2
+#: Closing words are a habit if more whole texts of the sample than this have them, and this many times as often as cuts have.
+HABIT = 3
 #: Marks that are appended where a text is cut.
 MARKS = ("…", " …", "...", " ...", " [...]", " (...)")
 _MARK = re.compile(r"\s*(?:…|\.\.\.|\[\.\.\.\]|\(\.\.\.\)|\[…\]|\(…\))$")
@@ -64,7 +69,7 @@ def shape(word: str) -> str:
 
 
 def features(text: str, source: str | None, corpus: Corpus) -> list[int]:
-    """Hashed features of one non-blank text."""
+    """Hashed features of one non-blank text; the first stands for its closing words."""
     t = text.rstrip()
     head, _, line = t.rpartition("\n")
     line = line.strip()
@@ -90,13 +95,14 @@ def features(text: str, source: str | None, corpus: Corpus) -> list[int]:
     colon = line.find(": ")
     lead = line[: colon + 1] if 0 < colon < 24 else ""
     names = [
-        f"k={kind}", f"c={tail}|{kind}", f"t2={core[-2:]}|{kind}", f"t3={line[-3:]}", f"w={w1.lower()}|{kind}", f"ww={w2.lower()} {w1.lower()}|{kind}", f"s={shape(w1)}|{kind}",
+        f"ww={w2.lower()} {w1.lower()}|{kind}",
+        f"k={kind}", f"c={tail}|{kind}", f"t2={core[-2:]}|{kind}", f"t3={line[-3:]}", f"w={w1.lower()}|{kind}", f"s={shape(w1)}|{kind}",
         f"known={known}|{kind}", f"known={known}|{kind}|{alone}|{in_line}", f"lines={alone}|{kind}", f"sent={sentences}|{alone}|{kind}", f"in={in_line}|{alone}|{kind}",
         f"first={first}|{alone}", f"lead={lead}|{kind}", f"open={opening}|{alone}|{kind}", f"limit={limit}|{kind}", f"limit={limit}|{kind}|{known}", f"dash={' - ' in line[-40:]}|{alone}|{kind}",
         f"item={line.startswith('- ')}|{kind}", f"paren={line.endswith(')') and '(' in line}|{line.startswith('(')}", f"digits={bool(re.search(r'[0-9]$', line))}|{bool(re.search('[0-9]+[:.][0-9]+$|[^0-9 ] [0-9]+, [^0-9]+ [0-9]+$', line))}|{in_line}",
         f"len={min(len(t) // 40, 6)}|{kind}|{alone}", f"quote={line.count(chr(34)) % 2}|{kind}", f"bad={'�' in t[-1:]}", f"src={source}|{kind}", f"comma={len(re.findall(', ', line)) > 1}|{lead}|{kind}",
     ]
-    return sorted({zlib.crc32(n.encode("utf-8", "replace")) % DIMENSIONS for n in names})
+    return list(dict.fromkeys(zlib.crc32(n.encode("utf-8", "replace")) % DIMENSIONS for n in names))
 
 
 def intact(text: str) -> bool:
@@ -105,11 +111,11 @@ def intact(text: str) -> bool:
     return bool(_DONE.search(t)) and not t.endswith("...") and len(t) > 40
 
 
-def cut(text: str, source: str | None, limits: dict[str, list[int]], rng: random.Random) -> str | None:
-    """An artificial cut of an intact text: at one of its source's limits or anywhere, in a word or between two, with or without a mark."""
+def cut(text: str, source: str | None, limits: dict[str, list[int]], rng: random.Random, at_limit: bool) -> str | None:
+    """An artificial cut of an intact text: at one of its source's limits (if it is that long) or anywhere, in a word or between two, with or without a mark."""
     t = text.rstrip()
     fits = [s * STEP for s in limits.get(source or "", []) if s * STEP < len(t) - STEP]
-    at = rng.choice(fits) + rng.randrange(STEP) if fits and rng.random() < 0.5 else rng.randrange(20, len(t) - 1)
+    at = rng.choice(fits) + rng.randrange(STEP) if fits and at_limit else rng.randrange(20, len(t) - 1)
     body = t[:at]
     if rng.random() < 0.4:
         body = body.rpartition(" ")[0] or body
@@ -122,17 +128,17 @@ def cut(text: str, source: str | None, limits: dict[str, list[int]], rng: random
     return body
 
 
-def _descend(data: list[tuple[list[int], float]], rng: random.Random, epochs: int = 5, rate: float = 0.3, l2: float = 1e-5) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic regression, by stochastic gradient steps."""
-    w = np.zeros(DIMENSIONS + 1)
-    data = list(data)
-    for epoch in range(epochs):
+def _descend(data: list[tuple[list[int], float]], rng: random.Random, epochs: int = 5, rate: float = 0.25, l2: float = 1e-5) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic regression. Steps shrink with what a feature has seen, so closings that are rare but regular count."""
+    w, seen = np.zeros(DIMENSIONS + 1), np.full(DIMENSIONS + 1, 1e-6)
+    data = [(np.array([*f, DIMENSIONS]), y) for f, y in data]
+    for _ in range(epochs):
         rng.shuffle(data)
-        step = rate / (1 + epoch)
         for f, y in data:
-            g = step * (y - 1 / (1 + np.exp(-max(min(w[f].sum() + w[-1], 30), -30))))
-            w[f] += g - step * l2 * w[f]
-            w[-1] += g
+            v = w[f]
+            g = y - 1 / (1 + np.exp(-max(min(v.sum(), 30), -30)))
+            seen[f] += g * g
+            w[f] = v + rate * (g / np.sqrt(seen[f]) - l2 * v)
     return w
 
 
@@ -149,13 +155,19 @@ def train(rows: list[tuple[str, str | None]], corpus: Corpus, seed: int = 5) ->
     for text, source in rows:
         if text and text.strip():
             whole.append(features(text, source, corpus))
-            if intact(text) and (c := cut(text, source, corpus.limits, rng)):
-                cuts.append((features(c, source, corpus), 1.0))
-    kept = []
-    for half in (0, 1):
-        w = _descend([(f, 0.0) for f in whole[half::2]] + cuts[half::2], rng)
-        kept += [(f, 0.0) for f in whole[1 - half :: 2] if w[f].sum() + w[-1] < SUSPECT]
-    return _descend(kept + cuts, rng)
+            made = {cut(text, source, corpus.limits, rng, at_limit) for at_limit in (True, False)} if intact(text) else ()
+            cuts += [(features(c, source, corpus), 1.0) for c in sorted(c for c in made if c)]
+    kept = [True] * len(whole)
+    # A closing seen again and again in whole texts, and more than in cuts, is a habit, not an accident.
+    closing, by_cut = Counter(f[0] for f in whole), Counter(f[0] for f, _ in cuts)
+    habit = [closing[f[0]] > HABIT and closing[f[0]] * len(cuts) > HABIT * by_cut[f[0]] * len(whole) for f in whole]
+    for _ in range(ROUNDS):
+        looks = list(kept)
+        for half in (0, 1):
+            w = _descend([(f, 0.0) for f, k in zip(whole[half::2], kept[half::2], strict=True) if k] + cuts[half::2], rng)
+            looks[1 - half :: 2] = [h or bool(w[f].sum() + w[-1] < SUSPECT) for f, h in zip(whole[1 - half :: 2], habit[1 - half :: 2], strict=True)]
+        kept = looks
+    return _descend([(f, 0.0) for f, k in zip(whole, kept, strict=True) if k] + cuts, rng)
 
 
 def corpus_facts(docs: DataFrame, text: str, source: str) -> Corpus:
