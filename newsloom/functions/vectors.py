@@ -16,8 +16,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """`v` over its length; the zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    # The length is bound by an outer lambda, else it would be computed again for each element.
+    return F.transform(F.array(norm(v)), lambda n: F.transform(v, lambda x: x / F.when(n == 0, F.lit(1.0)).otherwise(n)))[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

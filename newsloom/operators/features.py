@@ -85,7 +85,7 @@ def category_entropy(history: DataFrame, articles: DataFrame) -> DataFrame:
     """`impression_id`, `entropy` (bits) of the categories in each history."""
     c = category_counts(history, articles)
     p = F.col("n") / F.sum("n").over(Window.partitionBy("impression_id"))
-    return c.select("impression_id", p.alias("p")).groupBy("impression_id").agg(F.greatest(-F.sum(F.col("p") * F.log2("p")), F.lit(0.0)).alias("entropy"))
+    return c.select("impression_id", p.alias("p")).groupBy("impression_id").agg((F.lit(0.0) - F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
 def shown_features(cands: DataFrame, articles: DataFrame) -> DataFrame:

@@ -34,8 +34,8 @@ def salted_lookup(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner"
     hot = hot_keys(facts, F.col(key)) if hot is None else hot
     if not hot:
         return facts.join(dim, key, how)
-    f = hot_frame(facts, key, hot, "_hot")
-    f = f.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    d = hot_frame(dim, key, hot, "_hot")
-    d = d.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return f.join(d, [key, "_salt"], how).drop("_salt")
+    f = hot_frame(facts, key, hot, "__nl_hot")
+    f = f.withColumn("__nl_salt", F.when(F.col("__nl_hot"), F.pmod(F.xxhash64(*facts.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("__nl_hot")
+    d = hot_frame(dim, key, hot, "__nl_hot")
+    d = d.withColumn("__nl_salt", F.explode(F.when(F.col("__nl_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__nl_hot")
+    return f.join(d, [key, "__nl_salt"], how).drop("__nl_salt")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_text, plain_words, tokenize
 from newsloom.functions.vectors import norm, unit
-from newsloom.operators import ablation, bm25, catalogue, features, metrics, profile, retrieval, splits
+from newsloom.operators import ablation, bm25, bootstrap, catalogue, features, lambdamart, metrics, neural, profile, retrieval, sampling, splits
 from newsloom.operators.history import exploded, leaks, recent_history
-from newsloom.operators.sampling import dense_numbers
 from newsloom.session import table, written
 from newsloom.sources import mind
 from newsloom.sources.sinks import rank_lines
@@ -411,7 +411,7 @@ def submission_lines(s: SparkSession, d: str) -> DataFrame:
     """Rank lists of all test rows as delivered, by popularity: grouped by row, as a raw id may stand for many impressions."""
     b = Base(s, d)
     test = table(s, d, "behaviors").where("clicked_article_ids is null")
-    keyed = dense_numbers(test.select("raw_impression_id", "impression_id", "user_id", "timestamp", "ingested_at", "candidate_article_ids"), "timestamp", "impression_id", "user_id", "ingested_at", "candidate_article_ids")
+    keyed = sampling.dense_numbers(test.select("raw_impression_id", "impression_id", "user_id", "timestamp", "ingested_at", "candidate_article_ids"), "timestamp", "impression_id", "user_id", "ingested_at", "candidate_article_ids")
     c = keyed.select(F.col("row_no").alias("seq"), "raw_impression_id", F.posexplode("candidate_article_ids").alias("pos", "article_id"))
     c = c.join(b.popularity(), "article_id", "left").withColumn("score", F.coalesce("clicks", F.lit(0)).cast("double"))
     return rank_lines(c)
@@ -462,6 +462,94 @@ def leaked_history_auc(s: SparkSession, d: str) -> DataFrame:
     return clean.unionByName(metrics.impression_auc(b.emb(history=leaked), ["impression_id"]).agg(F.round(F.avg("auc"), 6).alias("auc")).withColumn("kind", F.lit("leaked")))
 
 
+# --- sampling, intervals, learning to rank ------------------------------------------------------
+
+
+def _val_metrics(s: SparkSession, d: str) -> DataFrame:
+    b = Base(s, d)
+    x = b.both()
+    long = x.select(F.lit("bm25").alias("method"), "impression_id", "pos", "label", F.col("bm25").alias("score")).unionByName(x.select(F.lit("embeddings").alias("method"), "impression_id", "pos", "label", F.col("emb").alias("score")))
+    return metrics.impression_metrics(long, ["method", "impression_id"])
+
+
+@query
+def seeded_sample(s: SparkSession, d: str) -> DataFrame:
+    """5,000 val impressions (all, if there are fewer), as a seeded draw from their list in time order."""
+    i = sampling.dense_numbers(Base(s, d).imps.where("split = 'val'").select("impression_id", "ts"), "ts", "impression_id")
+    return sampling.seeded_sample(i, i.count(), 5000)
+
+
+@query
+def bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
+    m = _val_metrics(s, d)
+    long = m.select("method", "impression_id", F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("auc", "mrr", "ndcg5", "ndcg10")))).alias("x")).select("method", "impression_id", "x.*")
+    return bootstrap.grouped_ci(long, ["method", "metric"], "value", "impression_id")
+
+
+@query
+def paired_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
+    m = written(_val_metrics(s, d)).withColumn("metric", F.lit("auc"))
+    return bootstrap.paired_grouped_ci(m.where("method = 'bm25'"), m.where("method = 'embeddings'"), ["metric"], "impression_id", "auc")
+
+
+@query
+def coverage_ci(s: SparkSession, d: str) -> DataFrame:
+    lists = _top5(s, d).groupBy("split", "impression_id").agg(F.collect_list("article_id").alias("items"))
+    return bootstrap.coverage_ci(lists, ["split"], "items", "impression_id", Base(s, d).articles.count())
+
+
+@query
+def training_frame(s: SparkSession, d: str) -> DataFrame:
+    return lambdamart.training_frame(Base(s, d).cands("train")).select("impression_id", "pos", "article_id", "label")
+
+
+@query
+def learned_alpha(s: SparkSession, d: str) -> DataFrame:
+    """The hybrid's weight, learned on train and applied to val."""
+    b = Base(s, d)
+    alpha = retrieval.learn_alpha(b.both("train"))
+    val = b.both().withColumn("score", F.round(retrieval.hybrid(F.col("bm25"), F.col("emb"), alpha), 9))
+    return metrics.impression_auc(val, ["impression_id"]).agg(F.lit(alpha).alias("alpha"), F.count("auc").alias("n"), F.round(F.avg("auc"), 6).alias("auc"))
+
+
+def _ranker(s: SparkSession, d: str, pop: tuple[str, ...] = ("train",)) -> lambdamart.Ranker:
+    return lambdamart.train(_feature_table(s, d, "train", pop), features.FEATURES, max_rows=100_000, trees=50)
+
+
+@query
+def ltr_scores(s: SparkSession, d: str) -> DataFrame:
+    val = _feature_table(s, d)
+    return lambdamart.score(val, _ranker(s, d), ["impression_id", "pos", "label"])
+
+
+@query
+def ltr_importance(s: SparkSession, d: str) -> DataFrame:
+    return s.createDataFrame(_ranker(s, d).importance(), "feature string, gain double")
+
+
+@query
+def ltr_leaked_popularity(s: SparkSession, d: str) -> DataFrame:
+    """Mean AUC of the ranker with popularity of the training split, and with that of train and val together."""
+    out = None
+    for kind, pop in (("clean", ("train",)), ("leaked", ("train", "val"))):
+        auc = metrics.impression_auc(lambdamart.score(_feature_table(s, d, "val", pop), _ranker(s, d, pop), ["impression_id", "pos", "label"]), ["impression_id"])
+        one = auc.agg(F.count("auc").alias("n"), F.avg("auc").alias("auc")).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def nrms_scores(s: SparkSession, d: str) -> DataFrame:
+    b = Base(s, d)
+    v, h = b.vectors, b.history("train")
+    listed = h.select("impression_id", F.posexplode("hist.article_id").alias("h", "article_id")).join(v, "article_id").groupBy("impression_id").agg(F.sort_array(F.collect_list(F.struct("h", "vec"))).alias("hist"))
+    shown = b.cands("train").join(v, "article_id").groupBy("impression_id").agg(F.sort_array(F.collect_list(F.struct("pos", "vec", "label"))).alias("shown"))
+    rows = listed.join(shown, "impression_id").orderBy(F.xxhash64("impression_id", F.lit(5)), "impression_id").limit(2000).collect()
+    samples = [(np.array([x["vec"] for x in r["hist"]]), np.array([x["vec"] for x in r["shown"]]), np.array([x["label"] for x in r["shown"]])) for r in rows]
+    w, _ = neural.train(samples, DIMS)
+    return neural.score(b.cands(), b.history(), v, w).select("impression_id", "pos", "label", "score")
+
+
 # --- profiles ---------------------------------------------------------------------------------
 
 

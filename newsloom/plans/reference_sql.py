@@ -154,12 +154,13 @@ SQL = {
       round(coalesce((epoch_us(v.ts) - epoch_us(published_time)) / 3.6e9, 0.0), 5) AS freshness_hours, CAST(published_time IS NOT NULL AS INT) AS has_freshness, round(dwell, 5) AS hist_avg_dwell_seconds, session_ordinal, session_click_count_so_far
       FROM val v JOIN hfeat USING (impression_id) LEFT JOIN arts USING (article_id) LEFT JOIN pop USING (article_id) LEFT JOIN sess USING (impression_id) LEFT JOIN cats ON cats.impression_id = v.impression_id AND cats.category = arts.category
       LEFT JOIN bm ON bm.impression_id = v.impression_id AND bm.pos = v.pos LEFT JOIN emb ON emb.impression_id = v.impression_id AND emb.pos = v.pos"""),
-    "category_entropy": sql("SELECT impression_id, round(greatest(-sum(p * log2(p)), 0.0), 6) AS entropy FROM (SELECT impression_id, n / sum(n) OVER (PARTITION BY impression_id) AS p FROM cats) GROUP BY 1"),
+    "category_entropy": sql("SELECT impression_id, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM (SELECT impression_id, n / sum(n) OVER (PARTITION BY impression_id) AS p FROM cats) GROUP BY 1"),
     "shown_features": sql(r"""SELECT impression_id, v.article_id, pos, count(*) OVER (PARTITION BY impression_id) AS n_candidates, round(pos / count(*) OVER (PARTITION BY impression_id), 6) AS relative_position,
       CAST(CASE WHEN title IS NULL OR trim(title) = '' THEN 0 ELSE len(regexp_split_to_array(trim(title), '\s+')) END AS INT) AS title_len, round(coalesce(share, 0), 6) AS category_share
       FROM val v LEFT JOIN arts USING (article_id) LEFT JOIN (SELECT category, count(*) / (SELECT count(*) FROM arts WHERE category IS NOT NULL) AS share FROM arts WHERE category IS NOT NULL GROUP BY 1) USING (category)"""),
     "rank_order_by_score": sql("SELECT impression_id, pos, rank FROM ranked"),
     "popularity_rank_order": sql("SELECT impression_id, pos, coalesce(clicks, 0) AS score, CAST(row_number() OVER (PARTITION BY impression_id ORDER BY coalesce(clicks, 0) DESC, pos) AS INT) AS rank FROM val LEFT JOIN pop USING (article_id)"),
+    "training_frame": sql("SELECT impression_id, pos, article_id, label FROM cand WHERE split = 'train' AND impression_id IN (SELECT impression_id FROM cand GROUP BY 1 HAVING sum(label) > 0 AND sum(label) < count(*))"),
     "submission_lines": sql("""SELECT seq, any_value(raw_impression_id) || ' [' || string_agg(CAST(rk AS VARCHAR), ',' ORDER BY pos) || ']' AS line FROM (
       SELECT *, row_number() OVER (PARTITION BY seq ORDER BY coalesce(clicks, 0) DESC, pos) AS rk FROM (SELECT seq, raw_impression_id, k - 1 AS pos, c[k] AS article_id FROM (
         SELECT seq, raw_impression_id, c, unnest(range(1, len(c) + 1)) AS k FROM (SELECT raw_impression_id, candidate_article_ids AS c,
