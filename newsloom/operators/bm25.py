@@ -29,7 +29,7 @@ def build(articles: DataFrame, idf_floor: float | None = None) -> Index:
     postings = words.select("article_id", F.explode("w").alias("term")).groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     if idf_floor is not None:
-        idf = F.greatest(F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(idf_floor))
+        idf = F.greatest(idf, F.lit(idf_floor))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", idf)
     return Index(docs, postings, terms, n, avgdl or 1.0)
 

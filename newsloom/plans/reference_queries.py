@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.functions.stem import stemmed
 from newsloom.functions.text import article_text, plain_words, tokenize
 from newsloom.functions.vectors import norm, unit
-from newsloom.operators import ablation, bm25, bootstrap, catalogue, features, lambdamart, metrics, neural, profile, retrieval, sampling, splits
+from newsloom.operators import ablation, bm25, bootstrap, catalogue, features, lambdamart, metrics, neural, profile, retrieval, sampling, splits, variants
 from newsloom.operators.history import exploded, leaks, recent_history
 from newsloom.session import table, written
 from newsloom.sources import mind
@@ -550,6 +551,54 @@ def nrms_scores(s: SparkSession, d: str) -> DataFrame:
     return neural.score(b.cands(), b.history(), v, w).select("impression_id", "pos", "label", "score")
 
 
+# --- the second definitions -------------------------------------------------------------------
+
+
+def _given(b: Base) -> DataFrame:
+    """Each val impression with its user's latest history, oldest first, whatever its time."""
+    h = b.t("user_history").where("user_id is not null").groupBy("user_id").agg(F.max_by("history", F.struct("as_of", "recorded_at", "history_id")).alias("items"))
+    return b.imps.where("split = 'val'").select("impression_id", "user_id").join(h, "user_id", "left").select("impression_id", "items")
+
+
+@query
+def given_history_features(s: SparkSession, d: str) -> DataFrame:
+    b = Base(s, d)
+    f = variants.feature_table(b.cands(), _given(b), b.articles, b.vectors, b.popularity(), DIMS)
+    ints = {"hist_len", "cat_overlap", "title_len", "n_candidates"}
+    return f.select("impression_id", "article_id", "pos", "label", *(F.col(c) if c in ints else F.round(c, 5).alias(c) for c in variants.FEATURES))
+
+
+@query
+def percentile_slices(s: SparkSession, d: str) -> DataFrame:
+    b = Base(s, d)
+    return variants.slices(b.imps.where("split = 'val'"), _given(b).select("impression_id", F.size("items").alias("hist_len")), b.popularity())
+
+
+@query
+def novelty10(s: SparkSession, d: str) -> DataFrame:
+    b = Base(s, d)
+    top = metrics.top_lists(_scored(s, d), ["impression_id"], 10)
+    return variants.novelty10(top, b.popularity(), ["impression_id"]).select("impression_id", F.round("novelty", 6).alias("novelty"))
+
+
+@query
+def fallback_scores(s: SparkSession, d: str) -> DataFrame:
+    b = Base(s, d)
+    v = b.vectors
+    scored = b.cands().join(b.emb().select("impression_id", "pos", "score"), ["impression_id", "pos"], "left").join(v, "article_id", "left").join(b.popularity(), "article_id", "left")
+    f = variants.with_popularity_fallback(scored, F.col("score").isNotNull(), F.col("vec").isNotNull(), F.col("clicks"))
+    return f.select("impression_id", "pos", F.round("score", 6).alias("score"))
+
+
+@query
+def stemmed_terms(s: SparkSession, d: str) -> DataFrame:
+    """Document frequencies of stems: English and Danish articles by dataset."""
+    a = Base(s, d).articles
+    text = plain_words(article_text(F.col("title"), F.col("abstract")), [])
+    parts = [a.where(F.col("dataset") == ds).select("article_id", F.lit(lang).alias("lang"), stemmed(text, lang).alias("w")) for ds, lang in (("mind", "en"), ("ebnerd", "da"))]
+    return parts[0].unionByName(parts[1]).select("article_id", "lang", F.explode(F.array_distinct("w")).alias("stem")).groupBy("lang", "stem").agg(F.count(F.lit(1)).alias("df"))
+
+
 # --- profiles ---------------------------------------------------------------------------------
 
 

@@ -121,7 +121,7 @@ SQL = {
     "bm25_search_top50": sql("SELECT query_id, article_id, rank, round(score, 6) AS score FROM hits WHERE rank <= 50"),
     "bm25_candidate_scores": sql("SELECT impression_id, pos, article_id, label, round(score, 6) AS score FROM bm"),
     "bm25_candidate_auc": sql("SELECT count(*) AS n, round(avg(auc), 6) AS auc FROM bmets"),
-    "bm25_floored_idf": sql("SELECT term, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.01), 6) AS idf FROM idf, stat"),
+    "bm25_floored_idf": sql("SELECT term, round(greatest(idf, 0.01), 6) AS idf FROM idf"),
     "emb_norms": sql("SELECT vec_id, round(n, 5) AS norm, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS unit_norm FROM raw"),
     "emb_user_vectors": sql("SELECT impression_id, CAST(dim AS INT) AS dim, round(x, 6) AS x FROM udim WHERE dim < 4"),
     "emb_search_top50": sql(f"""SELECT query_id, count(*) AS n, round(min(score), 6) AS last_score, round(avg(score), 6) AS mean_score FROM (
@@ -175,5 +175,28 @@ SQL = {
     "behaviour_stats": """SELECT count(x) AS n, count(*) - count(x) AS nulls, CAST(min(x) AS INT) AS least, CAST(max(x) AS INT) AS greatest, avg(x) AS mean, quantile_cont(x, 0.5)::DOUBLE AS median, count(DISTINCT x) AS distinct_values FROM (SELECT len(candidate_article_ids) AS x FROM behaviors)""",
     "impressions_per_user": """SELECT user_id, count(*) AS n, count(DISTINCT impression_id) AS n_ids, CAST(sum(coalesce(len(clicked_article_ids), 0)) AS BIGINT) AS clicks, min("timestamp") AS first_ts FROM behaviors WHERE user_id IS NOT NULL GROUP BY 1""",
 }
+CTES["given"] = """SELECT i.impression_id, h.history AS items FROM imps i LEFT JOIN (SELECT user_id, arg_max(history, struct_pack(a := as_of, r := recorded_at, i := history_id)) AS history FROM user_history WHERE user_id IS NOT NULL GROUP BY 1) h USING (user_id) WHERE i.split = 'val'"""
+CTES["gitem"] = "SELECT impression_id, k, items[k] AS article_id, len(items) AS n FROM (SELECT *, unnest(range(1, len(items) + 1)) AS k FROM given)"
+CTES["gterm"] = r"SELECT impression_id, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}_]+')) AS term FROM gitem JOIN arts USING (article_id) WHERE title IS NOT NULL AND k > n - 10"
+CTES["gcount"] = "SELECT impression_id, term, count(*) AS c FROM gterm GROUP BY ALL"
+CTES["gbm"] = "SELECT v.impression_id, v.pos, sum(greatest(idf, 0.01) / idf * w * c) AS s FROM val v JOIN imp USING (article_id) JOIN idf USING (term) JOIN gcount g ON g.impression_id = v.impression_id AND g.term = imp.term GROUP BY ALL"
+CTES["gcat"] = "SELECT impression_id, coalesce(category, 'UNK') AS category, count(*) AS n FROM gitem JOIN arts USING (article_id) GROUP BY ALL"
+CTES["gent"] = "SELECT impression_id, -sum(p * log2(p)) AS e FROM (SELECT impression_id, n / sum(n) OVER (PARTITION BY impression_id) AS p FROM gcat) GROUP BY 1"
+CTES["gage"] = "SELECT impression_id, row_number() OVER (PARTITION BY impression_id ORDER BY k DESC) - 1 AS age, vec FROM gitem JOIN vecs USING (article_id)"
+CTES["gdim"] = "SELECT impression_id, dim, avg(x) AS x, sum(x * exp(-0.1 * age)) / sum(exp(-0.1 * age)) AS y FROM (SELECT impression_id, age, unnest(range(0, 64)) AS dim, unnest(vec) AS x FROM gage) GROUP BY ALL"
+CTES["gvec"] = "SELECT impression_id, list(x ORDER BY dim) AS u, sqrt(sum(x * x)) AS n, list(y ORDER BY dim) AS ud, sqrt(sum(y * y)) AS nd FROM gdim GROUP BY 1"
+SQL["given_history_features"] = sql("""SELECT v.impression_id, v.article_id, v.pos, v.label, CAST(coalesce(len(items), 0) AS INT) AS hist_len, round(coalesce(e, 0), 5) + 0.0 AS user_cat_entropy, CAST(gcat.n IS NOT NULL AS INT) AS cat_overlap,
+  round(coalesce(gcat.n, 0) / greatest(coalesce(len(items), 0), 1), 5) AS cat_overlap_frac, round(coalesce(list_dot_product(u, vec) / gvec.n, 0), 5) AS emb_sim, round(coalesce(list_dot_product(ud, vec) / nd, 0), 5) AS emb_sim_decay,
+  round(coalesce(s, 0), 5) AS bm25_score, round(coalesce(clicks, 0) / (SELECT max(clicks) FROM pop), 5) AS popularity, CAST(CASE WHEN title IS NULL OR trim(title) = '' THEN 0 ELSE len(regexp_split_to_array(trim(title), '\\s+')) END AS INT) AS title_len,
+  round(coalesce(share, 0), 5) AS cat_freq, round(v.pos / count(*) OVER (PARTITION BY v.impression_id), 5) AS position, count(*) OVER (PARTITION BY v.impression_id) AS n_candidates
+  FROM val v LEFT JOIN given USING (impression_id) LEFT JOIN arts USING (article_id) LEFT JOIN gent ON gent.impression_id = v.impression_id LEFT JOIN gcat ON gcat.impression_id = v.impression_id AND gcat.category = CASE WHEN arts.article_id IS NOT NULL THEN coalesce(arts.category, 'UNK') END
+  LEFT JOIN (SELECT coalesce(category, 'UNK') AS category, count(*) / (SELECT count(*) FROM arts) AS share FROM arts GROUP BY 1) f ON f.category = coalesce(arts.category, 'UNK') AND arts.article_id IS NOT NULL
+  LEFT JOIN pop USING (article_id) LEFT JOIN vecs USING (article_id) LEFT JOIN gvec ON gvec.impression_id = v.impression_id LEFT JOIN gbm ON gbm.impression_id = v.impression_id AND gbm.pos = v.pos""")
+SQL["percentile_slices"] = sql("""WITH x AS (SELECT i.impression_id, coalesce(len(items), 0) AS h, coalesce(clicks, 0) AS p FROM (SELECT impression_id, coalesce(list_filter(cands, lambda a: list_contains(clicked, a))[1], cands[1]) AS article_id FROM imps WHERE split = 'val') i
+  LEFT JOIN given USING (impression_id) LEFT JOIN pop USING (article_id))
+  SELECT impression_id, CASE WHEN h <= (SELECT floor(quantile_cont(h, 0.25)) FROM x) THEN 'cold' ELSE 'warm' END AS history, CASE WHEN p <= (SELECT floor(quantile_cont(p, 0.8)) FROM x) THEN 'tail' ELSE 'head' END AS target FROM x""").replace("\nWITH x AS", ", x AS")
+SQL["novelty10"] = sql("SELECT impression_id, round(avg(-log2(greatest(coalesce(clicks / (SELECT sum(clicks) FROM pop), 0), 1e-10))), 6) AS novelty FROM ranked LEFT JOIN pop USING (article_id) WHERE rank <= 10 GROUP BY 1")
+SQL["fallback_scores"] = sql("""SELECT v.impression_id, v.pos, round(CASE WHEN e.score IS NULL THEN coalesce(clicks, 0) WHEN vec IS NULL THEN -1e8 + coalesce(clicks, 0) ELSE e.score END, 6) AS score
+  FROM val v LEFT JOIN emb e ON e.impression_id = v.impression_id AND e.pos = v.pos LEFT JOIN pop ON pop.article_id = v.article_id LEFT JOIN vecs ON vecs.article_id = v.article_id""")
 SQL["tokenize_articles"] = sql("SELECT dl.article_id, CAST(any_value(dl) AS INT) AS n_tokens, CAST(count(term) AS INT) AS n_terms FROM dl LEFT JOIN post ON post.article_id = dl.article_id GROUP BY 1")
 SQL["null_audit"] = "SELECT column_name, nulls, n_rows FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) - count({c}) AS nulls, count(*) AS n_rows FROM articles" for c in "article_id dataset title abstract body category subcategory published_time entities sentiment_score total_pageviews total_inviews embedding delivered_at".split()) + ")"
