@@ -67,8 +67,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text", "source")
-    return truncation.verdicts(truncation.score(docs, "doc_id", "text", "source", truncation.fit(docs, "doc_id", "text", "source")))
+    docs = table(spark, d, "documents").select("doc_id", "text", "source", "declared_chars")
+    model = truncation.fit(docs, "doc_id", "text", "source", "declared_chars")
+    return truncation.verdicts(truncation.score(docs, "doc_id", "text", "source", model, "declared_chars"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom.session import written
@@ -42,8 +42,10 @@ STEP, LIMIT_SHARE, LIMIT_RATIO = 8, 0.015, 4.0
 #: Sources with less than this share of all documents have no limits of their own, so there are at most 1 / SOURCE_SHARE with.
 SOURCE_SHARE = 1e-4
 THRESHOLD = 0.5
-#: A natural text scored above this (in log-odds) by the other half's model is no negative example.
-SUSPECT = -1.0
+#: Share of the artificial cuts within a text's first sentence that are used.
+FIRST_SENTENCE = 0.05
+#: A natural text scored above this (in log-odds) by the other half's model is no negative example; single sentences, mostly headlines, need more.
+SUSPECT, SUSPECT_SINGLE = -1.5, 1.0
 #: How often the negatives are cleaned of such texts.
 ROUNDS = 2
 #: Closing words are a habit if more whole texts of the sample than this have them, and this many times as often as cuts have.
@@ -68,7 +70,15 @@ def shape(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in word))
 
 
-def features(text: str, source: str | None, corpus: Corpus) -> list[int]:
+def announced(text: str, declared: int | None) -> str:
+    """How the length a sender announced compares with the text's."""
+    if declared is None or declared != declared:
+        return "none"
+    n = len(text)
+    return "same" if declared == n else "less" if declared < n else "bit" if declared <= n + 12 else "more" if declared <= 1.5 * n else "far"
+
+
+def features(text: str, source: str | None, corpus: Corpus, declared: int | None = None) -> list[int]:
     """Hashed features of one non-blank text; the first stands for its closing words."""
     t = text.rstrip()
     head, _, line = t.rpartition("\n")
@@ -92,6 +102,7 @@ def features(text: str, source: str | None, corpus: Corpus) -> list[int]:
     bytes_at = len(t.encode("utf-8", "replace")) // STEP
     limit = "at" if limit <= 1 else "bytes" if min((abs(bytes_at - s) for s in steps), default=9) <= 1 else "no"
     opening = shape(first[:1]) + ("(" if line.startswith("(") else ":" if first.endswith(":") else "")
+    said = announced(text, declared)
     colon = line.find(": ")
     lead = line[: colon + 1] if 0 < colon < 24 else ""
     names = [
@@ -101,6 +112,7 @@ def features(text: str, source: str | None, corpus: Corpus) -> list[int]:
         f"first={first}|{alone}", f"lead={lead}|{kind}", f"open={opening}|{alone}|{kind}", f"limit={limit}|{kind}", f"limit={limit}|{kind}|{known}", f"dash={' - ' in line[-40:]}|{alone}|{kind}",
         f"item={line.startswith('- ')}|{kind}", f"paren={line.endswith(')') and '(' in line}|{line.startswith('(')}", f"digits={bool(re.search(r'[0-9]$', line))}|{bool(re.search('[0-9]+[:.][0-9]+$|[^0-9 ] [0-9]+, [^0-9]+ [0-9]+$', line))}|{in_line}",
         f"len={min(len(t) // 40, 6)}|{kind}|{alone}", f"quote={line.count(chr(34)) % 2}|{kind}", f"bad={'�' in t[-1:]}", f"src={source}|{kind}", f"comma={len(re.findall(', ', line)) > 1}|{lead}|{kind}",
+        f"said={said}|{kind}", f"said={said}|{alone}|{in_line}|{kind}", f"named={bool(source) and line.endswith(' - ' + source)}|{in_line}", f"known={known}|{said}|{alone}|{in_line}|{kind}",
     ]
     return list(dict.fromkeys(zlib.crc32(n.encode("utf-8", "replace")) % DIMENSIONS for n in names))
 
@@ -119,10 +131,12 @@ def cut(text: str, source: str | None, limits: dict[str, list[int]], rng: random
     body = t[:at]
     if rng.random() < 0.4:
         body = body.rpartition(" ")[0] or body
-    if not _END.search(body) and rng.random() > 0.15:
+    if not _END.search(body) and rng.random() > FIRST_SENTENCE:
         return None  # real cuts within the first sentence are rare, headlines standing alone are not
     if rng.random() < 0.3:
         return body.rstrip() + rng.choice(MARKS)
+    if rng.random() < 0.05:
+        return body + "\ufffd"  # a transfer that ended within a character
     if not body.strip() or _DONE.search(body.rstrip()):
         return None  # cut behind a sentence: nothing tells it from a whole text
     return body
@@ -142,32 +156,34 @@ def _descend(data: list[tuple[list[int], float]], rng: random.Random, epochs: in
     return w
 
 
-def train(rows: list[tuple[str, str | None]], corpus: Corpus, seed: int = 5) -> np.ndarray:
-    """The final weights; `rows` is (text, source).
+def train(rows: list[tuple[str, str | None, int | None]], corpus: Corpus, seed: int = 5) -> np.ndarray:
+    """The final weights; `rows` is (text, source, announced length).
 
-    The sample as it stands also holds truncated texts. So each half is first
-    scored by a model of the other half, and what looks cut is no negative in the
-    final fit.
+    The sample as it stands also holds truncated texts. So each half is scored by a
+    model of the other half, and what looks cut is no negative in the next fit.
     """
     rng = random.Random(seed)
-    whole: list[list[int]] = []
+    whole: list[tuple[list[int], float]] = []  # features, the score from which they are suspect
     cuts: list[tuple[list[int], float]] = []
-    for text, source in rows:
+    for text, source, declared in rows:
         if text and text.strip():
-            whole.append(features(text, source, corpus))
+            single = not _END.search(text.rstrip()[:-1])
+            whole.append((features(text, source, corpus, declared), SUSPECT_SINGLE if single else SUSPECT))
             made = {cut(text, source, corpus.limits, rng, at_limit) for at_limit in (True, False)} if intact(text) else ()
-            cuts += [(features(c, source, corpus), 1.0) for c in sorted(c for c in made if c)]
-    kept = [True] * len(whole)
+            for c in sorted(c for c in made if c):
+                said = None if declared is None else declared if rng.random() < 0.5 else len(c)
+                cuts.append((features(c, source, corpus, said), 1.0))
     # A closing seen again and again in whole texts, and more than in cuts, is a habit, not an accident.
-    closing, by_cut = Counter(f[0] for f in whole), Counter(f[0] for f, _ in cuts)
-    habit = [closing[f[0]] > HABIT and closing[f[0]] * len(cuts) > HABIT * by_cut[f[0]] * len(whole) for f in whole]
+    closing, by_cut = Counter(f[0] for f, _ in whole), Counter(f[0] for f, _ in cuts)
+    habit = [closing[f[0]] > HABIT and closing[f[0]] * len(cuts) > HABIT * by_cut[f[0]] * len(whole) for f, _ in whole]
+    kept = [True] * len(whole)
     for _ in range(ROUNDS):
         looks = list(kept)
         for half in (0, 1):
-            w = _descend([(f, 0.0) for f, k in zip(whole[half::2], kept[half::2], strict=True) if k] + cuts[half::2], rng)
-            looks[1 - half :: 2] = [h or bool(w[f].sum() + w[-1] < SUSPECT) for f, h in zip(whole[1 - half :: 2], habit[1 - half :: 2], strict=True)]
+            w = _descend([(f, 0.0) for (f, _), k in zip(whole[half::2], kept[half::2], strict=True) if k] + cuts[half::2], rng)
+            looks[1 - half :: 2] = [h or bool(w[f].sum() + w[-1] < most) for (f, most), h in zip(whole[1 - half :: 2], habit[1 - half :: 2], strict=True)]
         kept = looks
-    return _descend([(f, 0.0) for f, k in zip(whole, kept, strict=True) if k] + cuts, rng)
+    return _descend([(f, 0.0) for (f, _), k in zip(whole, kept, strict=True) if k] + cuts, rng)
 
 
 def corpus_facts(docs: DataFrame, text: str, source: str) -> Corpus:
@@ -190,31 +206,35 @@ def corpus_facts(docs: DataFrame, text: str, source: str) -> Corpus:
     return Corpus(enders, {k: sorted(v) for k, v in limits.items()})
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, source: str, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, Corpus]:
+def fit(docs: DataFrame, doc_id: str, text: str, source: str, declared: str | None = None, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, Corpus]:
     corpus = corpus_facts(docs, text, source)
     n_docs = docs.where(F.col(text).isNotNull()).count()
     # A share of the hash range, not the first rows of a sort: no task gathers more than its part of the sample.
     place = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(3)), 11)
     below = F.lit(min(2**53, round(2**53 * train_docs / max(1, n_docs))))
-    picked = docs.where(F.col(text).isNotNull() & (place < below)).select(place.alias("k"), text, source)
-    rows = sorted(((r[0], r[1], r[2]) for r in picked.toLocalIterator()), key=lambda r: (r[0], r[1]))
-    return train([(t, s) for _, t, s in rows], corpus), corpus
+    picked = docs.where(F.col(text).isNotNull() & (place < below)).select(place.alias("k"), F.col(text), F.col(source), _said(declared))
+    rows = sorted(((r[0], r[1], r[2], r[3]) for r in picked.toLocalIterator()), key=lambda r: (r[0], r[1]))
+    return train([r[1:] for r in rows], corpus), corpus
+
+
+def _said(declared: str | None) -> Column:
+    return (F.lit(None) if declared is None else F.col(declared)).cast("long").alias("said")
 
 
-def score(docs: DataFrame, doc_id: str, text: str, source: str, model: tuple[np.ndarray, Corpus]) -> DataFrame:
+def score(docs: DataFrame, doc_id: str, text: str, source: str, model: tuple[np.ndarray, Corpus], declared: str | None = None) -> DataFrame:
     """`doc_id`, `source`, `h1`, `h2` (two hashes of the text) and `score` of every document."""
     spark: SparkSession = docs.sparkSession
     # DIMENSIONS floats, at most 1 / WORD_SHARE words and 1 / SOURCE_SHARE sources
     shared = spark.sparkContext.broadcast((model[0].astype("float32"), model[1]))
-    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("h1"), F.crc32(F.encode(text, "UTF-8")).alias("h2"), F.col(text).alias("t"))
+    picked = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.xxhash64(text).alias("h1"), F.crc32(F.encode(text, "UTF-8")).alias("h2"), _said(declared), F.col(text).alias("t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, corpus = shared.value
         for b in batches:
-            z = [float(w[features(t, s, corpus)].sum() + w[-1]) if isinstance(t, str) and t.strip() else -30.0 for t, s in zip(b["t"], b["source"], strict=True)]
-            yield b.drop(columns="t").assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
+            z = [float(w[features(t, s, corpus, n)].sum() + w[-1]) if isinstance(t, str) and t.strip() else -30.0 for t, s, n in zip(b["t"], b["source"], b["said"], strict=True)]
+            yield b.drop(columns=["t", "said"]).assign(score=1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    return picked.mapInPandas(run, picked.drop("t").withColumn("score", F.lit(0.0)).schema)
+    return picked.mapInPandas(run, picked.drop("t", "said").withColumn("score", F.lit(0.0)).schema)
 
 
 def verdicts(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

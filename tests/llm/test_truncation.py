@@ -59,7 +59,7 @@ def test_cuts_and_intact():
     for at_limit in (True, False):
         cuts = [c for _ in range(60) if (c := t.cut(text, "s", {"s": [10]}, rng, at_limit))]
         assert cuts and all(len(c) < len(text) for c in cuts)
-        assert all(text.startswith(t._MARK.sub("", c)) for c in cuts)
+        assert all(text.startswith(t._MARK.sub("", c).rstrip("\ufffd")) for c in cuts)
 
 
 def test_limits_and_enders(spark, docs):
@@ -67,6 +67,10 @@ def test_limits_and_enders(spark, docs):
     assert 200 // t.STEP in facts.limits["wire"] and facts.enders["break"] == 3 and "the" not in facts.enders
 
 
+def test_announced_lengths():
+    assert [t.announced("x" * 100, n) for n in (None, float("nan"), 100, 99, 105, 140, 300)] == ["none", "none", "same", "less", "bit", "more", "far"]
+
+
 def test_empty(spark, docs):
     none = docs.limit(0)
     assert t.verdicts(t.score(none, "doc_id", "text", "source", t.fit(none, "doc_id", "text", "source"))).count() == 0
