@@ -120,7 +120,25 @@ _P5 = """clicks AS (
 kinds AS (SELECT DISTINCT article_id, subcategory FROM articles WHERE subcategory IS NOT NULL),
 cells AS (SELECT user_id, subcategory, count(*) AS n, max(ts) AS last_at, sum(rt) AS total FROM clicks JOIN kinds USING (article_id) GROUP BY ALL)"""
 
+_FIELD = r'(?:"(?:[^"]|"")*"|[^"\t][^\t]*|)'
+_JSON = "CASE WHEN json_valid({0}) THEN {0} ELSE 'null' END"
+_ENTITIES = f"""({{0}} = '' OR (json_type({_JSON}) = 'ARRAY' AND coalesce(list_bool_and(list_transform(json_extract({_JSON}, '$[*]'), lambda e:
+    json_type(e) = 'OBJECT' AND coalesce(json_type(e, '$.Label') = 'VARCHAR' AND json_extract_string(e, '$.Label') <> '' AND json_type(e, '$.WikidataId') = 'VARCHAR' AND regexp_full_match(json_extract_string(e, '$.WikidataId'), 'Q[0-9]+')
+    AND json_type(e, '$.Confidence') IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND TRY_CAST(json_extract_string(e, '$.Confidence') AS DOUBLE) BETWEEN 0 AND 1 AND json_type(e, '$.OccurrenceOffsets') = 'ARRAY'
+    AND coalesce(list_bool_and(list_transform(json_extract(e, '$.OccurrenceOffsets[*]'), lambda o: json_type(o) = 'UBIGINT')), true), false))), true)))"""
+_P2 = f"""WITH l AS (SELECT 'news' AS line_kind, line_id, split, coalesce(line, '') AS line FROM news_lines UNION ALL SELECT 'behavior', line_id, split, coalesce(line, '') FROM behavior_lines),
+q AS (SELECT *, regexp_full_match(line, '(?s){_FIELD}(?:\\t{_FIELD})*') AS quoted_well,
+  list_transform(regexp_extract_all(chr(9) || line, '(?s)\\t({_FIELD})', 1), lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:-2], '""', '"') ELSE x END) AS f FROM l),
+v AS (SELECT line_kind, line_id, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(f) <> CASE line_kind WHEN 'news' THEN 8 ELSE 5 END THEN 'columns'
+  WHEN regexp_matches(line, '[\\x00-\\x08\\x0a-\\x1f\\x7f\\x{{FFFD}}]') THEN 'value'
+  WHEN line_kind = 'news' AND NOT (regexp_full_match(f[1], 'N[0-9]+') AND f[2] <> '' AND {_ENTITIES.format("f[7]")} AND {_ENTITIES.format("f[8]")}) THEN 'value'
+  WHEN line_kind = 'behavior' AND NOT (regexp_full_match(f[1], '[0-9]+') AND regexp_full_match(f[2], 'U[0-9]+') AND regexp_full_match(f[4], '|N[0-9]+( N[0-9]+)*')
+    AND regexp_full_match(f[3], '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}} (0?[1-9]|1[0-2]):[0-5][0-9]:[0-5][0-9] (AM|PM)') AND try_strptime(f[3], '%m/%d/%Y %I:%M:%S %p') IS NOT NULL
+    AND regexp_full_match(f[5], CASE split WHEN 'test' THEN 'N[0-9]+( N[0-9]+)*' ELSE 'N[0-9]+-[01]( N[0-9]+-[01])*' END)) THEN 'value' END AS reason FROM q)"""
+
 SQL = {
+    "p2_found": f"{_P2} SELECT line_kind, line_id, reason FROM v WHERE reason IS NOT NULL",
+    "p2_news_loaded": f"{_P2} SELECT line_id, f[1] AS news_id, f[2] AS category, f[3] AS subcategory, f[4] AS title, f[5] AS abstract, f[6] AS url, f[7] AS title_entities, f[8] AS abstract_entities FROM q JOIN v USING (line_kind, line_id) WHERE line_kind = 'news' AND reason IS NULL",
     "p1_found": """SELECT 'user_id' AS key_field, user_id AS key_value FROM behaviors WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) >= 0.02 * (SELECT count(*) FROM behaviors)
 UNION ALL SELECT 'clicked_article_ids', a FROM (SELECT unnest(clicked_article_ids) AS a FROM behaviors) WHERE a IS NOT NULL GROUP BY a
 HAVING count(*) >= 0.02 * (SELECT sum(len(clicked_article_ids)) FROM behaviors)""",
