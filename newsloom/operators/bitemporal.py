@@ -108,7 +108,7 @@ def bitemporal_join(events: DataFrame, versions: DataFrame, *, entity: str, vali
     if es[0] is None or ns[0] is None:
         return e.join(n.select(F.col("id").alias("version_id")), F.lit(False)).select(*(F.col(f"k_{c}").alias(c) for c in keep), "version_id")
     t0, lo, hi = min(es[0], ns[0]), es[2], es[3]
-    bits = max(es[1], ns[1]).__sub__(t0).bit_length()
+    bits = (max(es[1], ns[1]) - t0).bit_length()
 
     levels = (
         e.select("entity").unionAll(n.select("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rows_per_cell)

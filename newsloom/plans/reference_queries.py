@@ -13,6 +13,7 @@ from newsloom.functions.text import article_text, plain_words, tokenize
 from newsloom.functions.vectors import norm, unit
 from newsloom.operators import ablation, bm25, bootstrap, catalogue, features, lambdamart, metrics, neural, profile, retrieval, sampling, splits, variants
 from newsloom.operators.history import exploded, leaks, recent_history
+from newsloom.plans.reference_sql import SQL  # noqa: F401
 from newsloom.session import table, written
 from newsloom.sources import mind
 from newsloom.sources.sinks import rank_lines
@@ -630,5 +631,3 @@ def plain_word_counts(s: SparkSession, d: str) -> DataFrame:
     w = plain_words(F.col("text"), ["the", "and", "of", "og", "i", "der", "die", "das"])
     return table(s, d, "documents").select("doc_id", F.size(w).alias("n_words"))
 
-
-from newsloom.plans.reference_sql import SQL  # noqa: E402, F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,10 @@ from newsloom.schemas import ARTICLES, BEHAVIORS, USER_HISTORY, assert_schema
 SPLIT_DIRS = {"train": "train", "validation": "val", "test": "test"}
 
 
-def _ebnerd():
-    return F.when(F.lit(True), F.lit("ebnerd")).alias("dataset")
-
-
 def clean_articles(raw: DataFrame) -> DataFrame:
     s = lambda c: F.col(c).cast("string")
     return assert_schema(raw.select(
-        s("article_id").alias("article_id"), _ebnerd(), "title", F.col("subtitle").alias("abstract"), "body", s("category_str").alias("category"), F.array_join(F.col("subcategory").cast("array<string>"), ",").alias("subcategory"),
+        s("article_id").alias("article_id"), F.lit("ebnerd").alias("dataset"), "title", F.col("subtitle").alias("abstract"), "body", s("category_str").alias("category"), F.array_join(F.col("subcategory").cast("array<string>"), ",").alias("subcategory"),
         F.col("published_time").cast("timestamp_ntz").alias("published_time"), F.array_join(F.col("ner_clusters").cast("array<string>"), "|").alias("entities"), F.col("sentiment_score").cast("float").alias("sentiment_score"),
         F.col("total_pageviews").cast("long").alias("total_pageviews"), F.col("total_inviews").cast("long").alias("total_inviews"), F.lit(None).cast("array<float>").alias("embedding"),
     ), ARTICLES)
@@ -29,7 +27,7 @@ def clean_behaviors(raw: DataFrame, split: str) -> DataFrame:
     clicked = F.col("article_ids_clicked").cast("array<string>") if "article_ids_clicked" in raw.columns else F.lit(None).cast("array<string>")
     raw_id = F.col("impression_id").cast("string")
     return assert_schema(raw.select(
-        F.concat(F.lit(f"ebnerd_{split}_"), raw_id).alias("impression_id"), raw_id.alias("raw_impression_id"), F.col("user_id").cast("string").alias("user_id"), _ebnerd(),
+        F.concat(F.lit(f"ebnerd_{split}_"), raw_id).alias("impression_id"), raw_id.alias("raw_impression_id"), F.col("user_id").cast("string").alias("user_id"), F.lit("ebnerd").alias("dataset"),
         F.col("impression_time").cast("timestamp_ntz").alias("timestamp"), F.col("article_ids_inview").cast("array<string>").alias("candidate_article_ids"), clicked.alias("clicked_article_ids"),
     ), BEHAVIORS)
 
@@ -38,7 +36,7 @@ def clean_user_history(raw: DataFrame) -> DataFrame:
     """One row per distinct (article, time) of each user's parallel lists, duplicates removed within the row before anything is exploded; re-reads at another time stay."""
     pairs = F.array_distinct(F.arrays_zip(F.col("article_id_fixed").alias("a"), F.col("impression_time_fixed").alias("t")))
     x = raw.select(F.col("user_id").cast("string").alias("user_id"), F.explode(pairs).alias("x"))
-    return assert_schema(x.select("user_id", _ebnerd(), F.col("x.a").cast("string").alias("article_id"), F.col("x.t").cast("timestamp_ntz").alias("click_timestamp")), USER_HISTORY)
+    return assert_schema(x.select("user_id", F.lit("ebnerd").alias("dataset"), F.col("x.a").cast("string").alias("article_id"), F.col("x.t").cast("timestamp_ntz").alias("click_timestamp")), USER_HISTORY)
 
 
 def dwell(raw: DataFrame) -> DataFrame:
@@ -49,8 +47,6 @@ def dwell(raw: DataFrame) -> DataFrame:
 
 def clean_ebnerd(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """All tables under `root` (articles.parquet and a folder a split, each with behaviors and history)."""
-    from pathlib import Path
-
     out = {"articles": clean_articles(spark.read.parquet(f"{root}/articles.parquet"))}
     history = None
     for folder, split in SPLIT_DIRS.items():

@@ -36,9 +36,15 @@ def test_ranker_finds_the_signal(planted):
 
 
 def test_lambdas_pull_clicked_candidates_up():
-    g, h = lambdamart.lambdas(np.array([0.0, 1.0, 0.5]), np.array([1.0, 0.0, 0.0]))
-    assert g[0] > 0 > g[1] and abs(g.sum()) < 1e-12 and (h >= 0).all()
-    assert not lambdamart.lambdas(np.zeros(2), np.ones(2))[0].any()
+    g, h = lambdamart.lambdas(np.array([[0.0, 1.0, 0.5], [1.0, 2.0, 3.0]]), np.array([[1.0, 0.0, 0.0], [1.0, 1.0, 1.0]]))
+    assert g[0, 0] > 0 > g[0, 1] and abs(g[0].sum()) < 1e-12 and (h >= 0).all() and not g[1].any()
+    # the one pair (clicked at rank 3, other at rank 1): sigmoid of the wrong order times the change of NDCG
+    assert -g[0, 1] == pytest.approx(1 / (1 + np.exp(-1.0)) * (1 - 0.5))
+
+
+def test_blocks_cover_every_row():
+    at = np.concatenate([b.ravel() for b in lambdamart._by_size(np.array([3, 1, 3, 2]))])
+    assert sorted(at) == list(range(9))
 
 
 def test_search_draws_are_seeded(planted):
