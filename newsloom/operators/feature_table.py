@@ -1,7 +1,6 @@
 """One feature row per entity from events of hundreds of types, by two-stage salted aggregation.
 
-Events of the heaviest entities (each at least HOT_SHARE of all events, so few) are
-spread over salts; each (entity, type, salt) gives partial statistics; partials are
+Events of the heaviest entities (see `skew`) are spread over salts, by their share; each (entity, type, salt) gives partial statistics; partials are
 merged per (entity, type) and expanded to the complete list of types.
 
 Defined results: a null entity or type has no cell; a null event time counts as an
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.skew import hot_frame, hot_keys
+from newsloom.operators.skew import hot_keys, with_salts
 from newsloom.session import shuffle_parts
 
 MAX_AMOUNT = 86_400.0
@@ -30,11 +29,10 @@ def type_list(types: DataFrame, column: str) -> list[str]:
     return sorted(found)
 
 
-def feature_cells(events: DataFrame, entity: Column, kind: Column, at: Column, amount: Column, salts: int = 16) -> DataFrame:
+def feature_cells(events: DataFrame, entity: Column, kind: Column, at: Column, amount: Column) -> DataFrame:
     """The filled cells: `entity`, `kind`, `n`, `last_at`, `total`; partitioned by entity."""
     e = events.select(entity.alias("entity"), kind.alias("kind"), at.alias("at"), amount.cast("double").alias("amount")).where("entity is not null and kind is not null")
-    e = hot_frame(e, "entity", hot_keys(events, entity), "_hot")
-    e = e.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("at", "amount"), F.lit(salts))).otherwise(0))
+    e = with_salts(e, "entity", hot_keys(events, entity), "_n").withColumn("_salt", F.pmod(F.xxhash64("at", "amount"), F.col("_n")))
     good = F.when(F.col("amount").between(0, MAX_AMOUNT), F.col("amount")).otherwise(0.0)
     part = e.groupBy("entity", "kind", "_salt").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("last_at"), F.sum(good).alias("total"))
     whole = part.repartition(shuffle_parts(events.sparkSession), "entity").groupBy("entity", "kind")

@@ -43,6 +43,6 @@ def test_type_list_is_bounded(spark, monkeypatch):
 def test_salted_lookup_equals_join(spark, how):
     facts = spark.createDataFrame([(k, i, "s") for i, k in enumerate(["hot"] * 300 + ["a", "b", None, "z"])], "k string, i int, s string")
     dim = spark.createDataFrame([("hot", 1), ("a", 2), ("a", 3), (None, 4)], "k string, v int")
-    assert hot_keys(facts, F.col("k"), 0.5) == ["hot"]
-    got = sorted(map(str, salted_lookup(facts, dim, "k", how, hot=["hot"]).collect()))
+    assert hot_keys(facts, F.col("k"), 0.5) == [("hot", 300 / 303)]
+    got = sorted(map(str, salted_lookup(facts, dim, "k", how, hot=[("hot", 0.9)]).collect()))
     assert got == sorted(map(str, facts.join(dim, "k", how).collect()))
