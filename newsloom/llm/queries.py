@@ -29,7 +29,7 @@ def _baskets(spark: SparkSession, d: str) -> DataFrame:
     h = table(spark, d, "user_history").where("user_id is not null")
     read = h.groupBy("user_id").agg(F.max_by("history", F.struct("as_of", "recorded_at", "history_id")).alias("history"))
     both = shown.select(F.col("clicked_article_ids").alias("x")).unionAll(read.select("history"))
-    return both.select(F.array_distinct(F.array_compact("x")).alias("basket")).where(F.size("basket") > 0)
+    return both.withColumnRenamed("x", "basket")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.skew import salted_lookup
+from newsloom.operators.skew import HOT_SHARE, salted_lookup
 from newsloom.session import shuffle_parts, written
 
 SEGMENTS = 64
@@ -30,9 +30,9 @@ BROADCAST_ITEMS = 500_000
 
 
 def item_counts(baskets: DataFrame) -> tuple[DataFrame, int]:
-    """(`item`, `n`), and the number of baskets with an item, of `baskets` (`basket`: array of distinct non-null items)."""
+    """(`item`, `n`), and the number of baskets with an item, of `baskets` (`basket`: a non-empty array of distinct non-null items)."""
     counts = baskets.select(F.explode("basket").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    return counts, baskets.where(F.size("basket") > 0).count()
+    return counts, baskets.count()
 
 
 def dense_codes(items: DataFrame) -> DataFrame:
@@ -56,7 +56,8 @@ def stripe_counts(baskets: DataFrame, items: DataFrame, total: int) -> DataFrame
     if items.count() <= BROADCAST_ITEMS:
         coded = coded.join(F.broadcast(known), "item")
     else:
-        coded = salted_lookup(coded, known, "item", hot=[r[0] for r in items.where(F.col("n") > WIDE_SHARE * total).select("item").collect()])
+        elements = items.agg(F.sum("n")).first()[0]
+        coded = salted_lookup(coded, known, "item", hot=[(r["item"], r["n"] / elements) for r in items.where(F.col("n") > HOT_SHARE * elements).select("item", "n").collect()])
     sets = coded.groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("code", "wide"))).alias("s")).where(F.size("s") > 1)
     later = sets.select(F.col("s.code").alias("codes"), F.posexplode("s").alias("k", "x")).where(F.col("k") < F.size("codes") - 1)
     stripe = later.select(F.col("x.code").alias("a"), F.col("x.wide").alias("wide"), F.slice("codes", F.col("k") + 2, F.size("codes")).alias("bs"))
@@ -83,9 +84,9 @@ def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, total: int) ->
 def together(baskets: DataFrame, min_together: int = 5, min_lift: int = 10) -> DataFrame:
     """`article_a` < `article_b`, `n_ab`, `n_a`, `n_b`, `n_baskets`, `lift`, `llr` of the pairs with n_ab >= min_together and n_ab * N >= min_lift * n_a * n_b.
 
-    `baskets` has one array column `basket`, of distinct non-null items.
+    `baskets` has an array column `basket`.
     """
-    baskets = written(baskets.select("basket").withColumn("bid", F.monotonically_increasing_id()))
+    baskets = written(baskets.select(F.array_distinct(F.array_compact("basket")).alias("basket")).where(F.size("basket") > 0).withColumn("bid", F.monotonically_increasing_id()))
     counts, total = item_counts(baskets)
     items = dense_codes(counts.where((F.col("n") >= min_together) & (F.col("n") * min_lift <= total)))
     pairs = stripe_counts(baskets, items, total).where(F.col("n_ab") >= min_together)

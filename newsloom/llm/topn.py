@@ -1,8 +1,8 @@
 """The N best items of every group, with a fixed order, also for groups of millions.
 
-Hot-cold split: groups are counted exactly. Heavy groups (at least
-max(MIN_HEAVY, HOT_SHARE of all rows) rows, so few) are sorted by range over (group,
-score, item), which cuts each of them into many range partitions; the range is the
+Hot-cold split: groups are counted exactly. Heavy groups (at least MIN_HEAVY rows,
+so no window ever sorts more) are sorted by range over (group, score, item), which
+cuts each of them into many range partitions; the range is the
 salt: every (group, range) keeps its own N, and the survivors, at most N a range,
 are placed at the end. Light groups go through one shuffle and an ordinary window.
 Both results are united.
@@ -18,40 +18,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.skew import hot_frame
-from newsloom.session import shuffle_parts
+from newsloom.session import shuffle_parts, written
 
-HOT_SHARE = 0.001
 MIN_HEAVY = 10_000
+#: Up to so many heavy groups are broadcast; with more, rows meet their list by a shuffle join.
+BROADCAST_GROUPS = 200_000
 
 
-def heavy_groups(df: DataFrame, group: str) -> list:
-    """Groups with at least max(MIN_HEAVY, HOT_SHARE of all rows) rows: at most 1 / HOT_SHARE of them."""
-    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_HEAVY)
-    top = counts.orderBy(F.desc("n")).limit(round(1 / HOT_SHARE)).collect()
-    total = df.count() if top else 0
-    return [r[group] for r in top if r["n"] >= HOT_SHARE * total]
+def heavy_groups(df: DataFrame, group: str) -> DataFrame:
+    """`group`: those with at least MIN_HEAVY rows, counted exactly."""
+    counts = df.groupBy(F.col(group).alias("group")).agg(F.count(F.lit(1)).alias("n"))
+    return written(counts.where((F.col("n") >= MIN_HEAVY) & F.col("group").isNotNull()).select("group"))
 
 
 def _order() -> list[Column]:
     return [F.desc("score"), F.asc("item")]
 
 
-def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5, heavy: list | None = None) -> DataFrame:
+def top_n(df: DataFrame, group: str, item: str, score: str, n: int = 5) -> DataFrame:
     """`group`, `place` (1 to n), `item`, `score`."""
     parts = shuffle_parts(df.sparkSession)
-    heavy = heavy_groups(df, group) if heavy is None else heavy
+    heavy = heavy_groups(df, group)
+    n_heavy = heavy.count()
     rows = df.select(F.col(group).alias("group"), F.col(item).alias("item"), F.col(score).alias("score"))
     rows = rows.where("group is not null and item is not null and score is not null and not isnan(score)")
-    marked = hot_frame(rows, "group", heavy, "_hot")
     by_group = Window.partitionBy("group").orderBy(*_order())
+    if n_heavy <= BROADCAST_GROUPS:
+        heavy = F.broadcast(heavy)
 
-    light = marked.where("not _hot").repartition(parts, "group").groupBy("group", "item").agg(F.max("score").alias("score"))
+    light = rows.join(heavy, "group", "left_anti") if n_heavy else rows
+    light = light.repartition(parts, "group").groupBy("group", "item").agg(F.max("score").alias("score"))
     light = light.withColumn("place", F.row_number().over(by_group)).where(F.col("place") <= n)
-    if not heavy:
+    if not n_heavy:
         return light.select("group", "place", "item", "score")
 
-    best = marked.where("_hot").groupBy("group", "item").agg(F.max("score").alias("score"))
+    best = rows.join(heavy, "group", "left_semi").groupBy("group", "item").agg(F.max("score").alias("score"))
     ranged = best.repartitionByRange(parts, F.col("group"), *_order()).withColumn("_salt", F.spark_partition_id())
     kept = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("group", "_salt").orderBy(*_order()))).where(F.col("_k") <= n)
     hot = kept.withColumn("place", F.row_number().over(by_group)).where(F.col("place") <= n)

@@ -20,7 +20,7 @@ def test_equals_brute_force(spark, monkeypatch, broadcast, wide):
     monkeypatch.setattr(stripes, "WIDE_SHARE", wide)
     rng = random.Random(2)
     baskets = [rng.sample(["hot", *(f"x{k}" for k in range(k0, k0 + 4))], rng.randrange(0, 5)) for k0 in (rng.randrange(30) for _ in range(600))] + [["lonely"], []]
-    df = spark.createDataFrame([(sorted(set(b)),) for b in baskets], "basket array<string>")
+    df = spark.createDataFrame([([*b, None, *b[:1]], 1, "x") for b in baskets] + [(None, 1, "x")], "basket array<string>, bid int, item string")
     for least, lift in ((5, 10), (2, 1)):
         want, n = brute(baskets, least, lift)
         rows = stripes.together(df, least, lift).collect()
