@@ -8,6 +8,8 @@ keep hopeless items out beforehand: a pair can't occur more often than its rarer
 item, so items in fewer than `min_together` baskets drop out, and as n_ab <=
 min(n_a, n_b), a lift of L needs max(n_a, n_b) <= N / L.
 
+The work grows with the square of a basket's useful items, as any pair count's does.
+
 Significance is Dunning's log-likelihood ratio over the 2x2 table of each pair.
 
 Defined results: an item counts once a basket; null items are ignored; null and
@@ -23,9 +25,8 @@ from pyspark.sql import functions as F
 from newsloom.operators.skew import HOT_SHARE, salted_lookup
 from newsloom.session import shuffle_parts, written
 
-SEGMENTS = 64
-#: Items in more than this share of the baskets have their stripes cut into SEGMENTS.
-WIDE_SHARE = 0.01
+#: An item's stripes are cut into segments of about so many neighbours altogether; a segment is what one task counts at least.
+MAX_STRIPE = 1_000_000
 BROADCAST_ITEMS = 500_000
 
 
@@ -52,17 +53,19 @@ def stripe_counts(baskets: DataFrame, items: DataFrame, total: int) -> DataFrame
     """The merged stripes in long form: codes `a` < `b` and `n_ab`."""
     parts = shuffle_parts(baskets.sparkSession)
     coded = baskets.where(F.size("basket") > 1).select("bid", F.explode("basket").alias("item"))
-    known = items.select("item", "code", (F.col("n") > WIDE_SHARE * total).alias("wide"))
+    elements = items.agg(F.sum("n")).first()[0] or 0
+    mean = max(1.0, elements / max(1, total))  # useful items a basket
+    known = items.select("item", "code", F.ceil(F.col("n") * mean / MAX_STRIPE).cast("int").alias("segs"))
     if items.count() <= BROADCAST_ITEMS:
         coded = coded.join(F.broadcast(known), "item")
     else:
-        elements = items.agg(F.sum("n")).first()[0]
         coded = salted_lookup(coded, known, "item", hot=[(r["item"], r["n"] / elements) for r in items.where(F.col("n") > HOT_SHARE * elements).select("item", "n").collect()])
-    sets = coded.groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("code", "wide"))).alias("s")).where(F.size("s") > 1)
+    sets = coded.groupBy("bid").agg(F.array_sort(F.collect_list(F.struct("code", "segs"))).alias("s")).where(F.size("s") > 1)
     later = sets.select(F.col("s.code").alias("codes"), F.posexplode("s").alias("k", "x")).where(F.col("k") < F.size("codes") - 1)
-    stripe = later.select(F.col("x.code").alias("a"), F.col("x.wide").alias("wide"), F.slice("codes", F.col("k") + 2, F.size("codes")).alias("bs"))
-    cut = F.transform(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.struct(i.alias("seg"), F.filter("bs", lambda b: b % SEGMENTS == i).alias("bs")))
-    pieces = stripe.select("a", F.explode(F.when(F.col("wide"), F.filter(cut, lambda x: F.size(x["bs"]) > 0)).otherwise(F.array(F.struct(F.lit(0).alias("seg"), F.col("bs").alias("bs"))))).alias("x"))
+    stripe = later.select(F.col("x.code").alias("a"), F.col("x.segs").alias("segs"), F.slice("codes", F.col("k") + 2, F.size("codes")).alias("bs"))
+    in_seg = lambda g: F.filter("bs", lambda b: F.pmod(b, F.col("segs")) == g)
+    cut = F.transform(F.array_distinct(F.transform("bs", lambda b: F.pmod(b, F.col("segs")))), lambda g: F.struct(g.cast("long").alias("seg"), in_seg(g).alias("bs")))
+    pieces = stripe.select("a", F.explode(F.when(F.col("segs") > 1, cut).otherwise(F.array(F.struct(F.lit(0).cast("long").alias("seg"), F.col("bs").alias("bs"))))).alias("x"))
     merged = pieces.select("a", "x.seg", "x.bs").repartition(parts, "a", "seg").select("a", "seg", F.explode("bs").alias("b"))
     return merged.groupBy("a", "seg", "b").agg(F.count(F.lit(1)).alias("n_ab")).select("a", "b", "n_ab")
 

@@ -14,10 +14,10 @@ def brute(baskets, least, lift):
     return {(a, b, k, one[a], one[b]) for (a, b), k in two.items() if k >= least and k * n >= lift * one[a] * one[b]}, n
 
 
-@pytest.mark.parametrize(("broadcast", "wide"), [(500_000, 0.01), (0, 0.0), (0, 1.0)])
-def test_equals_brute_force(spark, monkeypatch, broadcast, wide):
+@pytest.mark.parametrize(("broadcast", "stripe"), [(500_000, 1_000_000), (0, 20), (0, 1)])
+def test_equals_brute_force(spark, monkeypatch, broadcast, stripe):
     monkeypatch.setattr(stripes, "BROADCAST_ITEMS", broadcast)
-    monkeypatch.setattr(stripes, "WIDE_SHARE", wide)
+    monkeypatch.setattr(stripes, "MAX_STRIPE", stripe)
     rng = random.Random(2)
     baskets = [rng.sample(["hot", *(f"x{k}" for k in range(k0, k0 + 4))], rng.randrange(0, 5)) for k0 in (rng.randrange(30) for _ in range(600))] + [["lonely"], []]
     df = spark.createDataFrame([([*b, None, *b[:1]], 1, "x") for b in baskets] + [(None, 1, "x")], "basket array<string>, bid int, item string")
