@@ -71,6 +71,14 @@ def test_announced_lengths():
     assert [t.announced("x" * 100, n) for n in (None, float("nan"), 100, 99, 105, 140, 300)] == ["none", "none", "same", "less", "bit", "more", "far"]
 
 
+def test_long_texts_are_read_to_their_end():
+    corpus = t.Corpus({"break": 3}, {})
+    long = story(random.Random(2), 20_000)
+    assert len(long) > 1_000_000
+    whole, cut_off = t.features(long, "s", corpus), t.features(long[:-9], "s", corpus)
+    assert whole != cut_off and len(set(whole)) == len(whole)
+
+
 def test_empty(spark, docs):
     none = docs.limit(0)
     assert t.verdicts(t.score(none, "doc_id", "text", "source", t.fit(none, "doc_id", "text", "source"))).count() == 0
