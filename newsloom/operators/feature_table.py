@@ -6,7 +6,8 @@ merged per (entity, type) and expanded to the complete list of types.
 Defined results: a null entity or type has no cell; a null event time counts as an
 event but not for the last time; null, NaN and impossible amounts (outside
 [0, MAX_AMOUNT]) count as an event of amount 0; repeated events count each time; an
-empty table gives no rows; entities without any typed event have no row.
+empty table gives no rows; entities without any typed event have a row of zeros if
+`feature_table` is given the entities, else none.
 """
 
 from __future__ import annotations
@@ -39,12 +40,14 @@ def feature_cells(events: DataFrame, entity: Column, kind: Column, at: Column, a
     return whole.agg(F.sum("n").alias("n"), F.max("last_at").alias("last_at"), F.sum("total").alias("total"))
 
 
-def feature_table(cells: DataFrame, kinds: list[str]) -> DataFrame:
-    """One row per entity: `features`, an array with one struct (kind, n, last_at, total) for each of `kinds`, in order."""
+def feature_table(cells: DataFrame, kinds: list[str], entities: DataFrame | None = None) -> DataFrame:
+    """One row per entity: `features`, an array with one struct (kind, n, last_at, total) for each of `kinds`, in order. The entities are those of `cells`, or the distinct non-null ones of `entities` (column `entity`)."""
     stats = F.struct("n", "last_at", "total")
     at = cells.schema["last_at"].dataType
     none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(at).alias("last_at"), F.lit(0.0).alias("total"))
     rows = cells.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", stats.alias("s")))).alias("m"))
+    if entities is not None:
+        rows = entities.select("entity").where("entity is not null").distinct().join(rows, "entity", "left")
     every = F.array(*(F.lit(k) for k in kinds)) if kinds else F.array().cast("array<string>")
 
     def cell(k: Column) -> Column:

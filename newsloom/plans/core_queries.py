@@ -89,12 +89,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_feature_table(spark: SparkSession, d: str) -> DataFrame:
-    t = feature_table(*_p5(spark, d))
+    """One row per user of `behaviors`; `last_at` and `total` hold one value per subcategory, in the order of `clicks`; `last_click` and `read_time` are those of all."""
+    t = feature_table(*_p5(spark, d), entities=table(spark, d, "behaviors").select(F.col("user_id").alias("entity")))
     return t.select(
         F.col("entity").alias("user_id"),
         F.array_join(F.transform("features", lambda x: x["n"].cast("string")), ",").alias("clicks"),
         F.array_max(F.transform("features", lambda x: x["last_at"])).alias("last_click"),
         F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x["total"]), 2).alias("read_time"),
+        F.col("features.last_at").alias("last_at"),
+        F.transform("features", lambda x: F.round(x["total"], 2)).alias("total"),
     )
 
 
