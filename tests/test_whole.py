@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from newsloom.operators import catalogue, retrieval
 from newsloom.plans import core_queries
 
 T0 = dt.datetime(2024, 1, 1)
@@ -25,3 +28,19 @@ def test_feature_table_has_every_user_and_type(spark, tmp_path):
     assert [got["u1"][c] for c in ("clicks", "last_at", "total")] == ["2,1,0", [t1, T0, None], [6.5, 2.5, 0.0]]
     for u in ("idle", "test"):
         assert [got[u][c] for c in ("clicks", "last_click", "read_time", "last_at", "total")] == ["0,0,0", None, 0.0, [None] * 3, [0.0] * 3]
+
+
+def test_every_article_has_its_vector(spark):
+    articles = spark.createDataFrame([(f"N{i}",) for i in range(30)], "article_id string")
+    vectors = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(4)], "vec_id long, embedding array<float>")
+    got = {r["article_id"]: r["vec"] for r in catalogue.article_vectors(articles, vectors).collect()}
+    assert set(got) == {f"N{i}" for i in range(30)} and got["N7"] == got["N3"] != got["N6"]
+
+
+def test_missing_vectors_are_skipped_and_score_0(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "article_id string, vec array<double>")
+    history = spark.createDataFrame([("i1", ["none", "a"]), ("i2", ["none"])], "impression_id string, items array<string>").select("impression_id", F.transform("items", lambda x: F.struct(x.alias("article_id"))).alias("hist"))
+    users = retrieval.user_vectors(history, vectors, 2)
+    assert {r["impression_id"]: r["vec"] for r in users.collect()} == {"i1": [1.0, 0.0]}
+    cands = spark.createDataFrame([("i1", 0, "a"), ("i1", 1, "none"), ("i1", 2, "b")], "impression_id string, pos int, article_id string")
+    assert [r["score"] for r in retrieval.score_candidates(cands, users, vectors).orderBy("pos").collect()] == [1.0, 0.0, 0.0]
