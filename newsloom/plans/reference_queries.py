@@ -98,7 +98,7 @@ def mind_clean_news(s: SparkSession, d: str) -> DataFrame:
 
 def _mind_raw(s: SparkSession, d: str, split: str) -> DataFrame:
     raw = table(s, d, "behavior_lines").where((F.col("split") == split) & (F.size(F.split("line", "\t", -1)) == 5))
-    return raw.select(*mind.split_columns(F.col("line"), mind.BEHAVIOR)).where(F.col("time").rlike(r"^(0?[1-9]|1[0-2])/(0?[1-9]|1[0-9]|2[0-8])/\d{4} (0?[1-9]|1[0-2]):[0-5]\d:[0-5]\d (AM|PM)$")).withColumn("time", mind.parse_time(F.col("time")))
+    return raw.select(*mind.split_columns(F.col("line"), mind.BEHAVIOR)).withColumn("time", mind.try_time(F.col("time"))).where("time is not null")
 
 
 @query

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from newsloom.operators import catalogue, retrieval
-from newsloom.plans import core_queries
+from newsloom.plans import core_queries, reference_queries
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -44,3 +44,13 @@ def test_missing_vectors_are_skipped_and_score_0(spark):
     assert {r["impression_id"]: r["vec"] for r in users.collect()} == {"i1": [1.0, 0.0]}
     cands = spark.createDataFrame([("i1", 0, "a"), ("i1", 1, "none"), ("i1", 2, "b")], "impression_id string, pos int, article_id string")
     assert [r["score"] for r in retrieval.score_candidates(cands, users, vectors).orderBy("pos").collect()] == [1.0, 0.0, 0.0]
+
+
+def test_mind_keeps_the_ends_of_months_and_drops_impossible_dates(spark, tmp_path):
+    days = ["1/29/2024", "01/30/2024", "12/31/2023", "2/29/2024", "2/29/2023", "2/30/2024", "4/31/2024", "1/32/2024", "13/1/2024", "1/1/0000"]
+    lines = [(i, "train", f"{i}\tU{i}\t{t} 11:59:59 PM\tN1 N2\tN3-1 N4-0") for i, t in enumerate(days)]
+    d = folder(spark, tmp_path, behavior_lines=(lines, "line_id long, split string, line string"))
+    kept = {r["impression_id"]: r["ts"] for r in reference_queries.mind_clean_behaviors(spark, d).collect()}
+    assert kept == {f"mind_train_{i}": dt.datetime(*x, 23, 59, 59) for i, x in enumerate([(2024, 1, 29), (2024, 1, 30), (2023, 12, 31), (2024, 2, 29)])}
+    h = {(r["user_id"], r["article_id"]): r["click_timestamp"] for r in reference_queries.mind_synthetic_history(spark, d).collect()}
+    assert h == {(f"U{i}", a): dt.datetime(2023, 12, 31, 23, 59, s) for i in range(4) for a, s in (("N1", 57), ("N2", 58))}
