@@ -228,7 +228,7 @@ def emb_norms(s: SparkSession, d: str) -> DataFrame:
 def emb_user_vectors(s: SparkSession, d: str) -> DataFrame:
     b = Base(s, d)
     u = retrieval.user_vectors(b.history(), b.vectors, DIMS)
-    return u.select("impression_id", F.posexplode(F.slice("vec", 1, 4)).alias("dim", "x")).select("impression_id", "dim", F.round("x", 6).alias("x"))
+    return u.select("impression_id", F.posexplode("vec").alias("dim", "x")).select("impression_id", "dim", F.round("x", 6).alias("x"))
 
 
 @query

@@ -54,3 +54,16 @@ def test_mind_keeps_the_ends_of_months_and_drops_impossible_dates(spark, tmp_pat
     assert kept == {f"mind_train_{i}": dt.datetime(*x, 23, 59, 59) for i, x in enumerate([(2024, 1, 29), (2024, 1, 30), (2023, 12, 31), (2024, 2, 29)])}
     h = {(r["user_id"], r["article_id"]): r["click_timestamp"] for r in reference_queries.mind_synthetic_history(spark, d).collect()}
     assert h == {(f"U{i}", a): dt.datetime(2023, 12, 31, 23, 59, s) for i in range(4) for a, s in (("N1", 57), ("N2", 58))}
+
+
+def test_user_vectors_come_out_with_all_dimensions(spark, tmp_path):
+    d = folder(
+        spark, tmp_path,
+        articles=([("N0", "t", T0)], "article_id string, title string, delivered_at timestamp_ntz"),
+        behaviors=([("mind_val_1", "1", "mind", "u", T0 + dt.timedelta(days=1), ["N0"], ["N0"], "s", 1.0)], "impression_id string, raw_impression_id string, dataset string, user_id string, timestamp timestamp_ntz, candidate_article_ids array<string>, clicked_article_ids array<string>, session_id string, read_time double"),
+        click_log=([("u", "N0", T0, 1.0)], "user_id string, article_id string, click_timestamp timestamp_ntz, read_time double"),
+        embeddings=([(0, [float(i) for i in range(64)])], "vec_id long, embedding array<float>"),
+    )
+    got = {r["dim"]: r["x"] for r in reference_queries.emb_user_vectors(spark, d).collect()}
+    length = sum(i * i for i in range(64)) ** 0.5
+    assert got == {i: round(i / length, 6) for i in range(64)}
