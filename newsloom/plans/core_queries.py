@@ -67,7 +67,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_history_at_click(spark: SparkSession, d: str) -> DataFrame:
-    h = table(spark, d, "user_history").select("history_id", F.coalesce(F.size("history"), F.lit(0)).alias("n_items"), F.try_element_at("history", F.lit(-1)).alias("newest"))
+    h = table(spark, d, "user_history").select("history_id", F.coalesce(F.size("history"), F.lit(0)).alias("n_items"), F.try_element_at("history", F.lit(-1)).alias("newest"), "history")
     return _p3(spark, d).join(h, "history_id")
 
 

@@ -67,3 +67,14 @@ def test_user_vectors_come_out_with_all_dimensions(spark, tmp_path):
     got = {r["dim"]: r["x"] for r in reference_queries.emb_user_vectors(spark, d).collect()}
     length = sum(i * i for i in range(64)) ** 0.5
     assert got == {i: round(i / length, 6) for i in range(64)}
+
+
+def test_the_history_itself_comes_out(spark, tmp_path):
+    at = [T0 + dt.timedelta(days=i) for i in range(4)]
+    d = folder(
+        spark, tmp_path,
+        behaviors=([("i1", "u", at[2], ["c"]), ("i2", "u", at[1], ["c"])], "impression_id string, user_id string, timestamp timestamp_ntz, clicked_article_ids array<string>"),
+        user_history=([(1, "u", at[0], at[0], ["a"]), (2, "u", at[1], at[1], ["a", "b"]), (3, "u", at[1], at[3], ["a", "c"])], "history_id long, user_id string, as_of timestamp_ntz, recorded_at timestamp_ntz, history array<string>"),
+    )
+    got = {r["impression_id"]: (r["history_id"], r["history"]) for r in core_queries.p3_history_at_click(spark, d).collect()}
+    assert got == {"i1": (2, ["a", "b"]), "i2": (1, ["a"])}
