@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from newsloom.plans import core_queries, reference_queries
 from newsloom.sources import ebnerd, mind, sinks
+from newsloom.session import release, session
 from newsloom.sources.download import download, resolve_scale
 
 #: Target -> the queries whose results it writes.
@@ -54,6 +55,7 @@ def run(spark: SparkSession, names: list[str], data: str, out: str) -> dict[str,
         t = time.time()
         sinks.write_csv(known[name](spark, data), f"{out}/{name}")
         took[name] = round(time.time() - t, 3)
+        release()
     return took
 
 
@@ -102,7 +104,7 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "download":
         print(download(read_config(a.config), a.dataset, a.scale, Path(a.root), a.force))
         return
-    spark = SparkSession.builder.appName("newsloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = session()
     if a.command == "build":
         print("built" if build(spark, a.dataset, a.scale, a.root, a.store, a.force) else "already there")
     elif a.command == "submission":
