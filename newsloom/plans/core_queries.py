@@ -148,10 +148,11 @@ HAVING count(*) >= 0.02 * (SELECT sum(len(clicked_article_ids)) FROM behaviors)"
     "p1_user_runs": _RUNS.format(key="user_id", events='SELECT user_id AS k, "timestamp" AS ts, coalesce(len(clicked_article_ids), 0) AS c FROM behaviors', more=", CAST(sum(c) AS BIGINT) AS clicks"),
     "p1_article_clicks": _RUNS.format(key="article_id", events='SELECT unnest(clicked_article_ids) AS k, "timestamp" AS ts FROM behaviors', more=""),
     "p3_found": f"WITH {_P3} SELECT * FROM p3",
-    "p3_history_at_click": f"WITH {_P3} SELECT impression_id, history_id, CAST(coalesce(len(history), 0) AS INT) AS n_items, history[-1] AS newest FROM p3 JOIN user_history USING (history_id)",
+    "p3_history_at_click": f"WITH {_P3} SELECT impression_id, history_id, CAST(coalesce(len(history), 0) AS INT) AS n_items, history[-1] AS newest, history FROM p3 JOIN user_history USING (history_id)",
     "p5_found": f"WITH {_P5} SELECT user_id, subcategory FROM cells",
-    "p5_feature_table": f"""WITH {_P5}, types AS (SELECT DISTINCT subcategory FROM kinds), users AS (SELECT DISTINCT user_id FROM cells)
-SELECT user_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY subcategory) AS clicks, max(last_at) AS last_click, round(sum(coalesce(total, 0)), 2) AS read_time
+    "p5_feature_table": f"""WITH {_P5}, types AS (SELECT DISTINCT subcategory FROM kinds), users AS (SELECT DISTINCT user_id FROM behaviors WHERE user_id IS NOT NULL)
+SELECT user_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY subcategory) AS clicks, max(last_at) AS last_click, round(sum(coalesce(total, 0)), 2) AS read_time,
+  list(last_at ORDER BY subcategory) AS last_at, list(round(coalesce(total, 0), 2) ORDER BY subcategory) AS total
 FROM users CROSS JOIN types LEFT JOIN cells USING (user_id, subcategory) GROUP BY user_id""",
     "p6_found": r"""WITH t AS (SELECT row_id, 'history' AS field_name, history AS s FROM mind_behaviors UNION ALL SELECT row_id, 'impressions', impressions FROM mind_behaviors),
 x AS (SELECT row_id, field_name, list_filter(list_transform(regexp_extract_all(s, '"[^"]*"|''[^'']*''|[A-Za-z0-9-]+'),

@@ -25,7 +25,7 @@ CTES = {
     "qimp": "SELECT DISTINCT impression_id FROM hist JOIN arts USING (article_id) WHERE title IS NOT NULL",
     "bm": "SELECT v.*, round(coalesce(s, 0.0), 9) AS score FROM val v JOIN qimp USING (impression_id) LEFT JOIN (SELECT v.impression_id, v.pos, sum(w) AS s FROM val v JOIN imp USING (article_id) JOIN qterm q ON q.impression_id = v.impression_id AND q.term = imp.term GROUP BY ALL) x ON x.impression_id = v.impression_id AND x.pos = v.pos",
     "raw": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings",
-    "vecs": "SELECT article_id, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS vec FROM (SELECT article_id, CAST(regexp_replace(article_id, '[^0-9]', '', 'g') AS BIGINT) AS g FROM arts) JOIN raw ON vec_id = g % (SELECT count(*) FROM embeddings) WHERE g % 10 <> 7",
+    "vecs": "SELECT article_id, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS vec FROM (SELECT article_id, CAST(regexp_replace(article_id, '[^0-9]', '', 'g') AS BIGINT) AS g FROM arts) JOIN raw ON vec_id = g % (SELECT count(*) FROM embeddings)",
     "udim": "SELECT impression_id, dim, avg(x) AS x FROM (SELECT impression_id, unnest(range(0, 64)) AS dim, unnest(vec) AS x FROM hist JOIN vecs USING (article_id)) GROUP BY ALL",
     "uvec": "SELECT impression_id, list(x ORDER BY dim) AS u, sqrt(sum(x * x)) AS n FROM udim GROUP BY impression_id",
     "emb": "SELECT v.*, round(coalesce(list_dot_product(u, vec) / CASE WHEN n = 0 THEN 1 ELSE n END, 0.0), 9) AS score FROM val v JOIN uvec USING (impression_id) LEFT JOIN vecs USING (article_id)",
@@ -73,7 +73,7 @@ def sql(body: str) -> str:
                     need.append(name)
 
     visit(body)
-    return ("WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in need) + "\n" if need else "") + body
+    return ("WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in need) + "\n" if need else "") + body
 
 
 _DIGITS = "CAST(regexp_replace(article_id, '[^0-9]', '', 'g') AS BIGINT)"
@@ -86,9 +86,9 @@ CTES["luvec"] = CTES["uvec"].replace("FROM udim", "FROM ludim")
 CTES["lemb"] = CTES["emb"].replace("JOIN uvec", "JOIN luvec")
 CTES["lkmets"] = _metrics("lemb", "impression_id")
 
-_TIME_OK = r"regexp_matches(f[3], '^(0?[1-9]|1[0-2])/(0?[1-9]|1[0-9]|2[0-8])/\d{4} (0?[1-9]|1[0-2]):[0-5]\d:[0-5]\d (AM|PM)$')"
-CTES["mb"] = f"""SELECT split, nullif(f[1], '') AS raw, nullif(f[2], '') AS user_id, strptime(f[3], '%m/%d/%Y %I:%M:%S %p') AS ts, nullif(f[4], '') AS history, nullif(f[5], '') AS shown
-  FROM (SELECT split, string_split(line, chr(9)) AS f FROM behavior_lines WHERE split IN ('train', 'val', 'test')) WHERE len(f) = 5 AND {_TIME_OK}"""
+CTES["mb"] = """SELECT split, nullif(f[1], '') AS raw, nullif(f[2], '') AS user_id, try_strptime(f[3], '%m/%d/%Y %I:%M:%S %p') AS ts, nullif(f[4], '') AS history, nullif(f[5], '') AS shown
+  FROM (SELECT split, string_split(line, chr(9)) AS f FROM behavior_lines WHERE split IN ('train', 'val', 'test')) WHERE len(f) = 5 AND try_strptime(f[3], '%m/%d/%Y %I:%M:%S %p') IS NOT NULL
+  AND regexp_full_match(f[3], '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2} (AM|PM)')"""
 CTES["mh"] = """SELECT split, user_id, string_split(history, ' ') AS h, anchor FROM (SELECT *, min(ts) OVER (PARTITION BY split) AS anchor FROM mb WHERE split <> 'test') WHERE history IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY split, user_id ORDER BY len(string_split(history, ' ')) DESC, history DESC) = 1"""
 
@@ -123,7 +123,7 @@ SQL = {
     "bm25_candidate_auc": sql("SELECT count(*) AS n, round(avg(auc), 6) AS auc FROM bmets"),
     "bm25_floored_idf": sql("SELECT term, round(greatest(idf, 0.01), 6) AS idf FROM idf"),
     "emb_norms": sql("SELECT vec_id, round(n, 5) AS norm, round(sqrt(list_sum(list_transform(e, lambda x: (x / n) * (x / n)))), 6) AS unit_norm FROM raw"),
-    "emb_user_vectors": sql("SELECT impression_id, CAST(dim AS INT) AS dim, round(x, 6) AS x FROM udim WHERE dim < 4"),
+    "emb_user_vectors": sql("SELECT impression_id, CAST(dim AS INT) AS dim, round(x, 6) AS x FROM udim"),
     "emb_search_top50": sql(f"""SELECT query_id, count(*) AS n, round(min(score), 6) AS last_score, round(avg(score), 6) AS mean_score FROM (
       SELECT q.article_id AS query_id, round(list_dot_product(q.vec, v.vec), 9) AS score, row_number() OVER (PARTITION BY q.article_id ORDER BY round(list_dot_product(q.vec, v.vec), 9) DESC, v.article_id) AS k
       FROM (SELECT * FROM vecs WHERE {_DIGITS} % 50 = 0) q, vecs v) WHERE k <= 50 GROUP BY 1"""),
