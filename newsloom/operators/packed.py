@@ -6,12 +6,9 @@ stretch separates two values or belongs to one. Each stretch with joiners is a
 lattice: an edge is a candidate value, a run of neighbouring atoms; leaving a
 joiner out of every edge costs a separator. Expectation-maximisation over all
 distinct stretches of the whole column, weighted by how often they occur, learns
-the frequency of each value and how likely a joiner separates; Viterbi then picks
-each stretch's likeliest split. Stretches without a joiner have one path and only
-add to the frequencies.
-
-With `exact=True` a check follows: a split that breaks a maximal run of value
-characters is undone, as the rule for these columns says that joiners stay.
+the frequency of each value and how likely a joiner separates, until that stands
+still; Viterbi then picks each stretch's likeliest split, and these splits are the
+rows. Stretches without a joiner have one path and only add to the frequencies.
 
 Defined results: null, empty or all-separator fields give no rows; an empty
 quoted span is no item and takes no position; an unpaired quote separates; a
@@ -21,19 +18,23 @@ field of any length is read whole; repeated rows keep their own items by
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache
 from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.skew import salted_lookup
+from newsloom.operators.skew import hot_keys, salted_lookup
 from newsloom.session import written
 
-ROUNDS = 3
-#: Stretches with more atoms than this are one value; their lattice would have more edges than the text has characters.
-MAX_ATOMS = 16
+MAX_ROUNDS = 60
+#: Learning ends when the share of separating joiners changes by less than this.
+TOLERANCE = 1e-6
+#: A candidate value has at most so many atoms, or is its whole stretch, so a lattice grows in proportion to its stretch.
+MAX_EDGE = 16
 _TOKEN = r"""("[^"]*"|'[^']*'|[A-Za-z0-9-]+)"""
 _SPACE = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
@@ -46,53 +47,110 @@ def tokens(df: DataFrame, fields: list[str], row_id: str) -> DataFrame:
     return stacked.select("row_id", "x.field_name", F.posexplode(F.filter(piece, lambda p: p["token"] != "")).alias("place", "p")).select("row_id", "field_name", "place", "p.*")
 
 
+@cache
+def edges_of(m: int) -> tuple[tuple[int, int], ...]:
+    """Edges (first atom, one past the last) of a stretch of `m` atoms, by end and start: up to MAX_EDGE atoms each, and the whole stretch."""
+    near = [(i, j) for j in range(1, m + 1) for i in range(max(0, j - MAX_EDGE), j)]
+    return tuple(near if m <= MAX_EDGE else sorted([*near, (0, m)], key=lambda e: (e[1], e[0])))
+
+
 def lattice(stretch: str) -> list[tuple[int, int, str]]:
-    """Edges (first atom, one past the last, value) over the atoms between single joiners."""
+    """Edges with their values, over the atoms between single joiners; an empty atom alone is no value."""
     atoms = stretch.split("-")
-    m = len(atoms)
-    if m > MAX_ATOMS:
-        return [(0, m, stretch)]
-    return [(i, j, "-".join(atoms[i:j])) for i in range(m) for j in range(i + 1, m + 1) if j - i > 1 or atoms[i]]
+    return [(i, j, "-".join(atoms[i:j])) for i, j in edges_of(len(atoms)) if j - i > 1 or atoms[i]]
+
+
+def _weights(ij: Sequence[tuple[int, int]], logp: np.ndarray, p_sep: float) -> np.ndarray:
+    """Log weights of the edges (columns) of many stretches of one form (rows): each joiner within a value joins, the one before it separates."""
+    inner = np.array([j - i - 1 for i, j in ij]) * log(max(1 - p_sep, 1e-300))
+    return logp + inner + np.array([log(max(p_sep, 1e-300)) if i else 0.0 for i, _ in ij])
+
+
+def posteriors(ij: Sequence[tuple[int, int]], logp: np.ndarray, p_sep: float) -> np.ndarray:
+    """Probability of each edge (column) given its stretch (row), by forward and backward sums in logarithms; `ij` is in the order of `edges_of`."""
+    w, m = _weights(ij, logp, p_sep), max(j for _, j in ij)
+    f = np.full((m + 1, len(w)), -np.inf)
+    b = f.copy()
+    f[0], b[m] = 0.0, 0.0
+    for k, (i, j) in enumerate(ij):
+        f[j] = np.logaddexp(f[j], f[i] + w[:, k])
+    for k in sorted(range(len(ij)), key=lambda k: -ij[k][0]):
+        i, j = ij[k]
+        b[i] = np.logaddexp(b[i], w[:, k] + b[j])
+    i, j = np.array(ij).T
+    with np.errstate(invalid="ignore"):  # a stretch all of whose values have no probability
+        return np.nan_to_num(np.exp(f[i].T + w + b[j].T - f[m][:, None]))
+
+
+def best_paths(ij: Sequence[tuple[int, int]], logp: np.ndarray, p_sep: float) -> list[list[int]]:
+    """The edges (numbers in `ij`) of each stretch's likeliest split."""
+    w, m = _weights(ij, logp, p_sep), max(j for _, j in ij)
+    best, last = np.full((m + 1, len(w)), -np.inf), np.full((m + 1, len(w)), -1)
+    best[0] = 0.0
+    for k, (i, j) in enumerate(ij):
+        score = best[i] + w[:, k]
+        better = score > best[j]
+        best[j], last[j] = np.where(better, score, best[j]), np.where(better, k, last[j])
+    out = []
+    for row in range(len(w)):
+        path, at = [], m
+        while at and last[at, row] >= 0:
+            path.append(int(last[at, row]))
+            at = ij[path[-1]][0]
+        out.append(path[::-1])
+    return out
+
+
+def forward_backward(edges: list[tuple[int, int, float]], p_sep: float) -> tuple[list[float], float]:
+    """Posterior of each edge (i, j, probability) of one stretch, and the expected number of separating joiners."""
+    order = sorted(range(len(edges)), key=lambda k: (edges[k][1], edges[k][0]))
+    with np.errstate(divide="ignore"):
+        found = posteriors([edges[k][:2] for k in order], np.log([[edges[k][2] for k in order]]), p_sep)[0]
+    post = dict(zip(order, found.tolist(), strict=True))
+    return [post[k] for k in range(len(edges))], sum(p for k, p in post.items() if edges[k][0])
+
+
+def viterbi(edges: list[tuple[int, int, str, float]], p_sep: float) -> list[str]:
+    """The values of one stretch's likeliest split."""
+    order = sorted(edges, key=lambda e: (e[1], e[0]))
+    with np.errstate(divide="ignore"):
+        (path,) = best_paths([e[:2] for e in order], np.log([[e[3] for e in order]]), p_sep)
+    return [order[k][2] for k in path]
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(s, c, i, j, v) for s, c in zip(b["stretch"], b["c"], strict=True) for i, j, v in lattice(s)]
-        yield pd.DataFrame(rows, columns=["stretch", "c", "i", "j", "value"])
-
+        rows = [(sid, c, s.count("-") + 1, i, j, v) for sid, s, c in zip(b["sid"], b["stretch"], b["c"], strict=True) for i, j, v in lattice(s)]
+        yield pd.DataFrame(rows, columns=["sid", "c", "m", "i", "j", "value"])
 
-def forward_backward(edges: list[tuple[int, int, float]], p_sep: float) -> tuple[list[float], float]:
-    """Posterior of each edge (i, j, probability), and the expected number of separating joiners."""
-    m = max(j for _, j, _ in edges)
-    weight = [p * (1 - p_sep) ** (j - i - 1) * (p_sep if i else 1.0) for i, j, p in edges]
-    f, b = [1.0] + [0.0] * m, [0.0] * m + [1.0]
-    for (i, j, _), w in sorted(zip(edges, weight, strict=True), key=lambda x: x[0][1]):
-        f[j] += f[i] * w
-    for (i, j, _), w in sorted(zip(edges, weight, strict=True), key=lambda x: -x[0][0]):
-        b[i] += w * b[j]
-    post = [f[i] * w * b[j] / f[m] if f[m] else 0.0 for (i, j, _), w in zip(edges, weight, strict=True)]
-    return post, sum(p for (i, _, _), p in zip(edges, post, strict=True) if i)
 
+def _by_form(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Sequence[tuple[int, int]], np.ndarray, np.ndarray]]:
+    """Stretches of the same number of atoms together: rows, edges, values (hashes) and log probabilities; edges without a value have none."""
+    for m, rows in b.groupby("m"):
+        ij = edges_of(int(m))
+        at = {e: k for k, e in enumerate(ij)}
+        value, logp = np.zeros((len(rows), len(ij)), dtype=np.int64), np.full((len(rows), len(ij)), -np.inf)
+        lens = rows["edges"].map(len).to_numpy()
+        flat = [(at[e["i"], e["j"]], e["value"], e["p"]) for es in rows["edges"] for e in es]
+        k, v, p = (np.array(x) for x in zip(*flat, strict=True))
+        r = np.repeat(np.arange(len(rows)), lens)
+        value[r, k], logp[r, k] = v, np.log(np.maximum(p, 1e-300))
+        yield rows, ij, value, logp
 
-def viterbi(edges: list[tuple[int, int, str, float]], p_sep: float) -> list[str]:
-    m = max(j for _, j, _, _ in edges)
-    best: list[tuple[float, list[str]] | None] = [(0.0, [])] + [None] * m
-    for i, j, v, p in sorted(edges, key=lambda x: (x[1], x[0])):
-        if best[i] is not None and p > 0:
-            score = best[i][0] + log(p) + (j - i - 1) * log(max(1 - p_sep, 1e-300)) + (log(max(p_sep, 1e-300)) if i else 0.0)
-            if best[j] is None or score > best[j][0]:
-                best[j] = (score, [*best[i][1], v])
-    return best[m][1] if best[m] else []
 
+def _expect(p_sep: float):
+    """Expected uses of each value (one row a value and batch), and of separating joiners (a row with a null value)."""
 
-def _posteriors(p_sep: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for c, es in zip(b["c"], b["edges"], strict=True):
-                post, seps = forward_backward([(e["i"], e["j"], e["p"]) for e in es], p_sep)
-                rows += [(e["value"], c * q, 0.0) for e, q in zip(es, post, strict=True)] + [(None, 0.0, c * seps)]
-            yield pd.DataFrame(rows, columns=["value", "n", "seps"])
+            parts = []
+            for rows, ij, value, logp in _by_form(b):
+                post = posteriors(ij, logp, p_sep) * rows["c"].to_numpy(float)[:, None]
+                used = np.isfinite(logp)
+                starts = np.array([i > 0 for i, _ in ij])
+                parts.append(pd.DataFrame({"value": value[used], "n": post[used], "seps": np.broadcast_to(starts, post.shape)[used] * post[used]}))
+            if parts:
+                yield pd.concat(parts).groupby("value", as_index=False).sum()
 
     return run
 
@@ -100,43 +158,50 @@ def _posteriors(p_sep: float):
 def _best(p_sep: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"stretch": b["stretch"], "split": [viterbi([(e["i"], e["j"], e["value"], e["p"]) for e in es], p_sep) for es in b["edges"]]})
+            for rows, ij, _, logp in _by_form(b):
+                yield pd.DataFrame({"sid": rows["sid"], "ends": [[ij[k][1] for k in path] for path in best_paths(ij, logp, p_sep)]})
 
     return run
 
 
-def learn_splits(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """`stretch`, `split`: the Viterbi split of each distinct stretch that has joiners."""
-    counted = written(found.where("not quoted").groupBy(F.col("token").alias("stretch")).agg(F.count(F.lit(1)).alias("c")))
-    plain = counted.where(~F.col("stretch").contains("-")).select(F.col("stretch").alias("value"), F.col("c").cast("double").alias("n"))
+def learn_splits(found: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """`stretch`, `split`: the Viterbi split of each distinct stretch that has joiners, by frequencies learned over the whole column until the share of separating joiners stands still."""
+    counted = written(found.where("not quoted").groupBy(F.col("token").alias("stretch")).agg(F.count(F.lit(1)).alias("c")).withColumn("sid", F.monotonically_increasing_id()))
     open_ = counted.where(F.col("stretch").contains("-"))
-    edges = written(open_.mapInPandas(_edges, "stretch string, c long, i int, j int, value string"))
+    plain = counted.where(~F.col("stretch").contains("-")).select(F.xxhash64("stretch").alias("value"), F.col("c").cast("double").alias("n"))
+    # Values are told apart by 64 bits of hash: all a collision could do is to add two frequencies.
+    edges = written(open_.select("sid", "stretch", "c").mapInPandas(_edges, "sid long, c long, m int, i int, j int, value string").withColumn("value", F.xxhash64("value")))
     joiners = open_.agg(F.sum(F.col("c") * (F.length("stretch") - F.length(F.regexp_replace("stretch", "-", "")))).cast("double")).first()[0] or 0.0
-    p_sep, freq = 0.5, edges.groupBy("value").agg(F.sum("c").cast("double").alias("n"))
+    used = edges.agg(F.sum("c").cast("double")).first()[0] or 0.0
+    plain_total = plain.agg(F.sum("n")).first()[0] or 0.0
+    hot = hot_keys(edges, F.col("value"))
+    p_sep, step = 0.5, edges.groupBy("value").agg(F.sum("c").cast("double").alias("n"))
 
     def scored() -> DataFrame:
-        total = freq.agg(F.sum("n")).first()[0] or 1.0
-        p = freq.select("value", (F.col("n") / total).alias("p"))
-        return salted_lookup(edges, p, "value").groupBy("stretch", "c").agg(F.collect_list(F.struct("i", "j", "value", "p")).alias("edges"))
-
-    for r in range(rounds):
-        freq = written(freq.unionByName(plain).groupBy("value").agg(F.sum("n").alias("n")) if r == 0 else freq)
-        step = written(scored().mapInPandas(_posteriors(p_sep), "value string, n double, seps double"))
-        p_sep = min(max((step.agg(F.sum("seps")).first()[0] or 0.0) / joiners, 1e-9), 1 - 1e-9) if joiners else p_sep
-        freq = written(step.where("value is not null").select("value", "n").unionByName(plain).groupBy("value").agg(F.sum("n").alias("n")).where("n > 1e-12"))
-    return scored().mapInPandas(_best(p_sep), "stretch string, split array<string>")
-
-
-def unpack(df: DataFrame, fields: list[str], row_id: str, exact: bool = True, rounds: int = ROUNDS) -> DataFrame:
-    """`row_id`, `field_name`, `item_position`, `item`: one row per packed value."""
+        p = step.select("value", "n").unionByName(plain).groupBy("value").agg((F.sum("n") / max(used + plain_total, 1.0)).alias("p"))
+        return salted_lookup(edges, p, "value", hot=hot).groupBy("sid", "c", "m").agg(F.collect_list(F.struct("i", "j", "value", "p")).alias("edges"))  # at most MAX_EDGE * m + 1
+
+    for _ in range(rounds if joiners else 0):
+        step = written(scored().mapInPandas(_expect(p_sep), "value long, n double, seps double"))
+        used, seps = (x or 0.0 for x in step.agg(F.sum("n"), F.sum("seps")).first())
+        before, p_sep = p_sep, min(max(seps / joiners, 1e-9), 1 - 1e-9)
+        if abs(p_sep - before) < tolerance:
+            break
+    paths = scored().mapInPandas(_best(p_sep), "sid long, ends array<int>")
+    atoms = F.split("stretch", "-", -1)
+    starts = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
+    piece = F.zip_with(starts, "ends", lambda i, j: F.array_join(F.slice(atoms, i + 1, j - i), "-"))
+    return paths.join(open_.select("sid", "stretch"), "sid").select("stretch", piece.alias("split"))
+
+
+def unpack(df: DataFrame, fields: list[str], row_id: str, exact: bool = False, rounds: int = MAX_ROUNDS) -> DataFrame:
+    """`row_id`, `field_name`, `item_position`, `item`: one row per packed value, as the Viterbi splits have it; with `exact` no joiner separates, whatever was learned."""
     found = tokens(df, fields, row_id)
     splits = written(learn_splits(found, rounds).where(F.size("split") > 1))
-    if exact:  # joiners are value characters here, so a split inside a stretch breaks a maximal run
-        splits = splits.select("stretch", F.array("stretch").alias("split"))
-    by_token = salted_lookup(found, splits.withColumnRenamed("stretch", "token"), "token", "left") if splits.take(1) else found.withColumn("split", F.lit(None).cast("array<string>"))
+    if exact or not splits.take(1):
+        return found.select("row_id", "field_name", F.col("place").alias("item_position"), F.col("token").alias("item"))
+    by_token = salted_lookup(found, splits.withColumnRenamed("stretch", "token"), "token", "left")
     parts = by_token.withColumn("parts", F.when(F.col("quoted") | F.col("split").isNull(), F.array("token")).otherwise(F.col("split")))
-    if exact:
-        return parts.select("row_id", "field_name", F.col("place").alias("item_position"), F.explode("parts").alias("item"))
     before = Window.partitionBy("row_id", "field_name").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     shifted = parts.withColumn("_b", F.coalesce(F.sum(F.size("parts")).over(before), F.lit(0)))
     return shifted.select("row_id", "field_name", "_b", F.posexplode("parts").alias("k", "item")).select("row_id", "field_name", (F.col("_b") + F.col("k")).cast("int").alias("item_position"), "item")

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from newsloom.operators.packed import forward_backward, lattice, learn_splits, tokens, unpack, viterbi
+from newsloom.operators.packed import MAX_EDGE, forward_backward, lattice, learn_splits, tokens, unpack, viterbi
 
 
 def by_hand(s):
@@ -75,6 +75,19 @@ def test_lattice_sums_equal_enumeration(atoms, p_sep, rng):
     assert viterbi(edges, p_sep) == ["-".join(atoms[i:j]) for i, j in best] or len({round(w, 15) for w, _ in paths}) < len(paths)
 
 
-def test_long_stretches_are_one_value():
-    assert lattice("-".join("abcdefghijklmnopqrst")) == [(0, 20, "-".join("abcdefghijklmnopqrst"))]
+def test_long_stretches_have_lattices_in_proportion():
+    atoms = [f"v{k}" for k in range(2000)]
+    edges = lattice("-".join(atoms))
+    assert len(edges) <= MAX_EDGE * 2000 + 1 and (0, 2000, "-".join(atoms)) in edges
+    assert {(k, k + 1, v) for k, v in enumerate(atoms)} <= set(edges)
     assert lattice("-") == [(0, 2, "-")]
+    values = set(atoms)
+    assert viterbi([(i, j, v, 0.01 if v in values else 0.0) for i, j, v in edges], 0.9) == atoms
+
+
+def test_the_rows_follow_what_was_learned(spark):
+    """The same field comes out differently beside columns that teach another meaning of its joiner."""
+    joined, apart = [f"N{i % 40}-{i % 2}" for i in range(400)], ["N3", "1", "N5", "0"] * 100 + ["N3-1", "N3-0", "N5-1", "N5-0"] * 5
+    for rows, want in ((joined, ["N3-1", "x"]), (apart, ["N3", "1", "x"])):
+        df = spark.createDataFrame(list(enumerate(["N3-1 x", *rows])), "row_id long, f string")
+        assert [r["item"] for r in unpack(df, ["f"], "row_id").where("row_id = 0").orderBy("item_position").collect()] == want
