@@ -24,7 +24,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.skew import hot_keys, salted_lookup
@@ -32,7 +32,7 @@ from newsloom.session import written
 
 MAX_ROUNDS = 60
 #: Learning ends when the share of separating joiners changes by less than this.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-4
 #: A candidate value has at most so many atoms, or is its whole stretch, so a lattice grows in proportion to its stretch.
 MAX_EDGE = 16
 _TOKEN = r"""("[^"]*"|'[^']*'|[A-Za-z0-9-]+)"""
@@ -182,8 +182,9 @@ def learn_splits(found: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float =
         return salted_lookup(edges, p, "value", hot=hot).groupBy("sid", "c", "m").agg(F.collect_list(F.struct("i", "j", "value", "p")).alias("edges"))  # at most MAX_EDGE * m + 1
 
     for _ in range(rounds if joiners else 0):
-        step = written(scored().mapInPandas(_expect(p_sep), "value long, n double, seps double"))
-        used, seps = (x or 0.0 for x in step.agg(F.sum("n"), F.sum("seps")).first())
+        seen = Observation()
+        step = written(scored().mapInPandas(_expect(p_sep), "value long, n double, seps double").observe(seen, F.sum("n").alias("n"), F.sum("seps").alias("seps")))
+        used, seps = seen.get["n"] or 0.0, seen.get["seps"] or 0.0
         before, p_sep = p_sep, min(max(seps / joiners, 1e-9), 1 - 1e-9)
         if abs(p_sep - before) < tolerance:
             break
