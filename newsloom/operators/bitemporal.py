@@ -7,13 +7,18 @@ current: of those with as_of < v and recorded <= r, the one with the greatest
 as_of, then recorded, then id. An event is a point (its valid time, the time up
 to which it may know), located in the rectangle that holds it.
 
-Rectangles are indexed by a grid. An entity with few rows has one cell; one with
-many has up to 2**20 equal slabs of valid time, as many as its rows call for, so
-no cell of a heavy entity holds more than its share. A slab is swept on its own
-from (a) the versions that begin in it, (b) earlier versions recorded late, in
-the slab's own window of recorded time, and (c) the one version already current
-when that window opens, a running maximum over slabs. What the window has to
-cover follows from the events' own least and greatest (known - valid).
+Rectangles are indexed by a grid. An entity with few versions is one cell. One with
+many has its versions numbered by (as_of, recorded, id), by prefix sums that never
+hold an entity in one task, and its events learn in the same pass how many versions
+begin before them; a cell is a run of `rows_per_cell` versions. In the other
+direction, the grid is a pyramid: a cell stands on the next level as one version, in
+force from its place and recorded as early as the first of its versions, and again
+`rows_per_cell` of these make a cell. An event is looked up in its own cell; if
+nothing there was recorded in time, in the cell above for the nearest earlier cell
+that has something, and so on, and then down again. So no cell of any level holds
+more than `rows_per_cell` versions, however late, however many at once and however
+far from each other they were recorded, and no version is copied. Cells with many
+events are salted.
 
 Defined results: events or versions with a null entity or time (versions: null
 id too) match nothing; events without a version are left out; repeated versions
@@ -31,11 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.offset_chunks import prefix_sums
+from newsloom.operators.skew import hot_keys, salted_lookup, salted_sides
 from newsloom.session import shuffle_parts, written
 
 ROWS_PER_CELL = 256
-BROADCAST_ROWS = 200_000
 _END = 2**62
+#: Cells of level k are numbered from k * _LEVEL.
+_LEVEL = 2**48
 _RECT = pa.schema([("entity", pa.string()), ("cell", pa.int64()), ("v_lo", pa.int64()), ("v_hi", pa.int64()), ("r_lo", pa.int64()), ("r_hi", pa.int64()), ("version_id", pa.int64())])
 
 
@@ -98,43 +106,77 @@ def _rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
+def rectangles(cells: DataFrame) -> DataFrame:
+    """Disjoint rectangles of each (`entity`, `cell`) of versions `xa` (from when), `xr` (recorded), `id`."""
+    ordered = cells.repartition(shuffle_parts(cells.sparkSession), "entity", "cell").sortWithinPartitions("entity", "cell", "xr", "xa", "id")
+    return ordered.mapInArrow(_rectangles, "entity string, cell long, v_lo long, v_hi long, r_lo long, r_hi long, version_id long")
+
+
+def _located(points: DataFrame, rects: DataFrame, how: str) -> DataFrame:
+    """`points` (`entity`, `cell`, `x`, `r`, ...) with `version_id`, of the rectangle of the cell that holds (x, r)."""
+    key = F.concat_ws("#", F.col("cell"), F.col("entity")).alias("_key")
+    f = points.select("*", key)
+    f, d = salted_sides(f, rects.select(key, "v_lo", "v_hi", "r_lo", "r_hi", "version_id"), "_key", hot_keys(f, F.col("_key")))
+    salts = [c for c in f.columns if c in d.columns]
+    d = d.toDF(*(f"_d{c}" if c in salts else c for c in d.columns))
+    same = " and ".join(f"{c} = _d{c}" for c in salts)
+    return f.join(d, F.expr(f"{same} and x > v_lo and x <= v_hi and r >= r_lo and r < r_hi"), how).select(*points.columns, "version_id")
+
+
+def pyramid(numbered: DataFrame, rows_per_cell: int, most: int) -> tuple[DataFrame, int]:
+    """The cells of all levels of `numbered` versions (`entity`, `no`, `r`, `id`), and the number of levels; `most`: versions of the largest entity."""
+    k = rows_per_cell
+    level, height, out = numbered.select("entity", "no", "r", "id"), 1, None
+    while True:
+        cells = level.select("entity", (F.lit((height - 1) * _LEVEL) + F.floor(F.col("no") / k)).cast("long").alias("cell"), F.col("no").alias("xa"), F.col("r").alias("xr"), "id")
+        out = cells if out is None else out.unionByName(cells)
+        if most <= k:
+            return out, height
+        level = level.groupBy("entity", F.floor(F.col("no") / k).cast("long").alias("no")).agg(F.min("r").alias("r")).withColumn("id", F.col("no"))
+        most, height = -(-most // k), height + 1
+
+
+def _climb(points: DataFrame, rects: DataFrame, height: int, k: int) -> DataFrame:
+    """Events with their version: up the levels until a cell has something recorded in time, then down to that version. `points` have `p`, the number of the last version that begins before them."""
+    done, todo = [], points
+    for level in range(height):
+        at = todo.select("*", (F.lit(level * _LEVEL) + F.floor(F.col("p") / k)).cast("long").alias("cell"), (F.col("p") + 1).alias("x"))
+        tried = written(_located(at, rects, "left").drop("cell", "x"))
+        found = tried.where("version_id is not null")
+        for below in range(level - 1, -1, -1):
+            inside = found.select(*points.columns, (F.lit(below * _LEVEL) + F.col("version_id")).cast("long").alias("cell"), F.lit(_END - 1).alias("x"))
+            found = _located(inside, rects, "inner").drop("cell", "x")
+        done.append(found)
+        todo = tried.where("version_id is null").drop("version_id").withColumn("p", F.floor(F.col("p") / k).cast("long") - 1).where("p >= 0")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def bitemporal_join(events: DataFrame, versions: DataFrame, *, entity: str, valid: str, known: str, keep: list[str], version_entity: str, as_of: str, recorded: str, version_id: str, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """`keep` columns of each event and the `version_id` of the version current at (valid, known)."""
-    spark = events.sparkSession
     e = events.select(F.col(entity).cast("string").alias("entity"), micros(F.col(valid)).alias("v"), micros(F.col(known)).alias("r"), *(F.col(c).alias(f"k_{c}") for c in keep)).where("entity is not null and v is not null and r is not null")
     n = versions.select(F.col(version_entity).cast("string").alias("entity"), micros(F.col(as_of)).alias("a"), micros(F.col(recorded)).alias("r"), F.col(version_id).cast("long").alias("id")).where("entity is not null and a is not null and r is not null and id is not null")
-    es = e.agg(F.min("v"), F.max("v"), F.min(F.col("r") - F.col("v")), F.max(F.col("r") - F.col("v"))).first()
-    ns = n.agg(F.min("a"), F.max("a")).first()
-    if es[0] is None or ns[0] is None:
-        return e.join(n.select(F.col("id").alias("version_id")), F.lit(False)).select(*(F.col(f"k_{c}").alias(c) for c in keep), "version_id")
-    t0, lo, hi = min(es[0], ns[0]), es[2], es[3]
-    bits = (max(es[1], ns[1]) - t0).bit_length()
-
-    levels = (
-        e.select("entity").unionAll(n.select("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > rows_per_cell)
-        .select("entity", F.least(F.lit(min(20, bits)), F.ceil(F.log2(F.col("c") / rows_per_cell))).cast("int").alias("level"))
-    )
-    levels = written(levels)
-    if levels.count() <= BROADCAST_ROWS:
-        levels = F.broadcast(levels)
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.join(levels, "entity", "left").withColumn("level", F.coalesce("level", F.lit(0))).withColumn("s", bits - F.col("level"))
-
-    n = placed(n).withColumn("xa", F.col("a") - t0).withColumn("xr", F.col("r") - t0).withColumn("ca", F.expr("shiftright(xa, s)"))
-    own = n.select("entity", F.col("ca").alias("cell"), "xa", "xr", "id")
-    split = n.where("level > 0").withColumn("top", F.expr("shiftleft(1L, level) - 1")).withColumn("c_from", F.expr(f"shiftright(greatest(xr - ({hi}), 0L), s)")).withColumn("c_to", F.expr(f"shiftright(greatest(xr - ({lo}), 0L), s)"))
-    late = split.withColumn("c_from", F.greatest(F.col("ca") + 1, "c_from")).withColumn("c_to", F.least("c_to", "top")).where("c_from <= c_to")
-    late = late.select("entity", F.explode(F.sequence("c_from", "c_to")).alias("cell"), "xa", "xr", "id")
-    # Known before slab i's window opens, for every i from here on.
-    carry = split.withColumn("c", F.when(F.col("xr") < lo, F.col("ca") + 1).otherwise(F.greatest("ca", "c_to") + 1)).where("c <= top")
-    carry = carry.groupBy("entity", "top", "c").agg(F.max(F.struct("xa", "xr", "id")).alias("best"))
-    w = Window.partitionBy("entity").orderBy("c")
-    carry = carry.select("entity", F.max("best").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("best"), "c", F.coalesce(F.lead("c").over(w) - 1, "top").alias("c_end"))
-    carry = carry.select("entity", F.explode(F.sequence("c", "c_end")).alias("cell"), "best.xa", "best.xr", "best.id")
-
-    cells = own.unionByName(late).unionByName(carry)
-    rects = cells.repartition(shuffle_parts(spark), "entity", "cell").sortWithinPartitions("entity", "cell", "xr", "xa", "id").mapInArrow(_rectangles, "entity string, cell long, v_lo long, v_hi long, r_lo long, r_hi long, version_id long")
-    points = placed(e).withColumn("v", F.col("v") - t0).withColumn("r", F.col("r") - t0).withColumn("cell", F.expr("shiftright(greatest(v, 0L), s)"))
-    found = points.join(rects, ["entity", "cell"]).where("v > v_lo and v <= v_hi and r >= r_lo and r < r_hi")
-    return found.select(*(F.col(f"k_{c}").alias(c) for c in keep), "version_id")
+    kept = [F.col(f"k_{c}").alias(c) for c in keep]
+
+    heavy = written(n.groupBy("entity").agg(F.count(F.lit(1)).alias("n_versions")).where(F.col("n_versions") > rows_per_cell))
+    most = heavy.agg(F.max("n_versions")).first()[0]
+    if most is None:
+        rects = rectangles(n.select("entity", F.lit(0).cast("long").alias("cell"), F.col("a").alias("xa"), F.col("r").alias("xr"), "id"))
+        return _located(e.withColumn("cell", F.lit(0).cast("long")).withColumnRenamed("v", "x"), rects, "inner").select(*kept, "version_id")
+
+    e, n = (salted_lookup(df, heavy, "entity", "left") for df in (e, n))
+    light_e, light_n = (df.where("n_versions is null").drop("n_versions") for df in (e, n))
+    light_rects = rectangles(light_n.select("entity", F.lit(0).cast("long").alias("cell"), F.col("a").alias("xa"), F.col("r").alias("xr"), "id"))
+    light = _located(light_e.withColumn("cell", F.lit(0).cast("long")).withColumnRenamed("v", "x"), light_rects, "inner").select(*kept, "version_id")
+
+    points = e.where("n_versions is not null").withColumnRenamed("v", "t").withColumn("is_version", F.lit(0).cast("long"))
+    begins = n.where("n_versions is not null").withColumnRenamed("a", "t").withColumn("is_version", F.lit(1).cast("long"))
+    # At equal times events come first, as a version is current only after its as_of.
+    both = points.unionByName(begins, allowMissingColumns=True).drop("n_versions")
+    placed = written(prefix_sums(both, "entity", ["t", "is_version", "r", "id"], "is_version"))
+    cells, height = pyramid(placed.where("is_version = 1").withColumn("no", F.col("before")), rows_per_cell, most)
+    rects = written(rectangles(cells))
+    asked = placed.where("is_version = 0 and before > 0").select("entity", "r", *(f"k_{c}" for c in keep), (F.col("before") - 1).alias("p"))
+    return light.unionByName(_climb(asked, rects, height, rows_per_cell).select(*kept, "version_id"))

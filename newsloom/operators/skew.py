@@ -44,6 +44,14 @@ def salted_lookup(facts: DataFrame, dim: DataFrame, key: str, how: str = "inner"
     hot = hot_keys(facts, F.col(key)) if hot is None else hot
     if not hot:
         return facts.join(dim, key, how)
+    f, d = salted_sides(facts, dim, key, hot)
+    return f.join(d, [key, "__nl_salt"], how).drop("__nl_salt")
+
+
+def salted_sides(facts: DataFrame, dim: DataFrame, key: str, hot: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a lookup on `key`, with a column `__nl_salt` to join on as well (none where nothing is hot), for joins with further conditions."""
+    if not hot:
+        return facts, dim
     f = with_salts(facts, key, hot, "__nl_n").withColumn("__nl_salt", F.pmod(F.xxhash64(*facts.columns), F.col("__nl_n")).cast("int")).drop("__nl_n")
     d = with_salts(dim, key, hot, "__nl_n").withColumn("__nl_salt", F.explode(F.sequence(F.lit(0), F.col("__nl_n") - 1))).drop("__nl_n")
-    return f.join(d, [key, "__nl_salt"], how).drop("__nl_salt")
+    return f, d

@@ -4,7 +4,9 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from newsloom.operators import bitemporal
 from newsloom.operators.bitemporal import Sweep, bitemporal_join
 
 T0 = dt.datetime(2024, 1, 1)
@@ -60,3 +62,36 @@ def test_rectangles_are_disjoint_and_right(pairs):
             hit = [i for lo, hi, rl, rh, i in rects if lo < v <= hi and rl <= r < rh]
             want = max(((a, rec, i) for rec, a, i in vs if a < v and rec <= r), default=None)
             assert hit == ([want[2]] if want else [])
+
+
+N = 100_000
+LOADS = {
+    "recorded in time": lambda c: c + 1,
+    "one bulk load": lambda c: F.lit(N),
+    "loads of thousands": lambda c: (F.floor(c / 5000) + 1) * 5000,
+    "backwards": lambda c: 2 * N - c,
+}
+
+
+@pytest.mark.parametrize("load", sorted(LOADS))
+def test_no_cell_is_large_whatever_was_recorded_when(spark, monkeypatch, load):
+    """10^5 versions of one entity, and outlier events that know far more or far less than their time."""
+    seen, plain = [], bitemporal.rectangles
+    monkeypatch.setattr(bitemporal, "rectangles", lambda cells: seen.append(cells) or plain(cells))
+    minute = lambda c: F.timestamp_add("SECOND", c.cast("long"), F.lit(T0).cast("timestamp_ntz"))
+    i = F.col("id")
+    versions = spark.range(N).select(F.lit("hot").alias("u"), minute(i).alias("a"), minute(LOADS[load](i)).alias("rec"), i.alias("vid"))
+    events = spark.range(0, 2 * N, 97).select(i.alias("eid"), F.when(i % 5 == 0, "other").otherwise("hot").alias("u"), minute(i).alias("v"), minute(F.when(i % 11 == 0, 10**8).when(i % 13 == 0, 0).otherwise(i)).alias("r"))
+    got = {r["eid"]: r["version_id"] for r in bitemporal_join(events, versions, entity="u", valid="v", known="r", keep=["eid"], version_entity="u", as_of="a", recorded="rec", version_id="vid").collect()}
+    rec = {r["vid"]: r["s"] for r in versions.select("vid", F.timestamp_diff("SECOND", F.lit(T0).cast("timestamp_ntz"), F.col("rec")).alias("s")).collect()}
+    order = [rec[k] for k in range(N)]
+    want = {}
+    for e in range(0, 2 * N, 97):
+        r = 10**8 if e % 11 == 0 else 0 if e % 13 == 0 else e
+        if e % 5:
+            k = next((k for k in range(min(e, N) - 1, -1, -1) if order[k] <= r), None)
+            if k is not None:
+                want[e] = k
+    assert got == want
+    for cells in seen:
+        assert (cells.groupBy("entity", "cell").count().agg(F.max("count")).first()[0] or 0) <= bitemporal.ROWS_PER_CELL
