@@ -25,13 +25,24 @@ RANGE_DOCS = 50_000
 MAX_TARGETS = 10_000
 
 
-def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
-    """Per target: available documents and tokens, budget, full passes and the rest to be cut from one more pass."""
+def target_list(targets: DataFrame) -> list:
+    """The targets that count; more than MAX_TARGETS, or one source twice, is an error."""
     listed = targets.where("source is not null and target_share > 0 and max_repeats > 0").select("source", "target_share", "max_repeats").limit(MAX_TARGETS + 1).collect()
     if len(listed) > MAX_TARGETS or len({r["source"] for r in listed}) < len(listed):
         raise ValueError("targets must be distinct sources, at most %d" % MAX_TARGETS)
-    keys = targets.where("source is not null").select("source").distinct()
-    have = {r["source"]: r for r in sizes.join(F.broadcast(keys), "source", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
+    return listed
+
+
+def of_targets(docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The documents of the sources that have a target."""
+    keys = docs.sparkSession.createDataFrame([(r["source"],) for r in target_list(targets)], "source string")
+    return docs.join(F.broadcast(keys), "source", "left_semi")  # at most MAX_TARGETS rows
+
+
+def budgets(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> list[dict]:
+    """Per target: available documents and tokens, budget, full passes and the rest to be cut from one more pass."""
+    listed = target_list(targets)
+    have = {r["source"]: r for r in of_targets(sizes, targets).groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens")).collect()}
     present = [r for r in listed if r["source"] in have and have[r["source"]]["tokens"] > 0]
     most = min((have[r["source"]]["tokens"] * r["max_repeats"] / r["target_share"] for r in present), default=0)
     total = min(most, total_tokens) if total_tokens else most
@@ -48,7 +59,7 @@ def mix(sizes: DataFrame, plan: list[dict], seed: int = 17) -> DataFrame:
     """`source`, `doc_id`, `epoch` (from 1), `n_tokens`, `mix_key` (random order of the mixture) of every use of a document."""
     spark = sizes.sparkSession
     spec = spark.createDataFrame([(p["source"], p["passes"], p["rest"], p["bits"]) for p in plan], "source string, passes long, rest long, bits int")
-    docs = sizes.select("source", "doc_id", "n_tokens").join(F.broadcast(spec), "source")
+    docs = sizes.select("source", "doc_id", "n_tokens").join(F.broadcast(spec), "source")  # at most MAX_TARGETS rows
     docs = docs.withColumn("key", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)).withColumn("range", F.expr("shiftright(key, 63 - bits)"))
     sums = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("t"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,6 +76,6 @@ def shares(mixed: DataFrame, plan: list[dict]) -> DataFrame:
     spark = mixed.sparkSession
     spec = spark.createDataFrame([(p["source"], p["target_share"], p["max_repeats"], p["tokens"]) for p in plan], "source string, target_share double, max_repeats int, tokens_there long")
     given = mixed.groupBy("source").agg(F.sum("n_tokens").alias("tokens_given"), F.max("epoch").alias("most_uses"))
-    out = spec.join(F.broadcast(given), "source", "left").fillna(0, ["tokens_given", "most_uses"])
+    out = spec.join(given, "source", "left").fillna(0, ["tokens_given", "most_uses"])
     whole = F.sum("tokens_given").over(Window.partitionBy(F.lit(0)))  # a row a target
     return out.select("source", "target_share", F.when(whole > 0, F.col("tokens_given") / whole).otherwise(0.0).alias("actual_share"), "tokens_given", "tokens_there", "max_repeats", "most_uses")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm import truncation
-from newsloom.llm.mixing import budgets, mix, shares
+from newsloom.llm.mixing import budgets, mix, of_targets, shares
 from newsloom.llm.packing import pack
 from newsloom.llm.stripes import together
 from newsloom.llm.tokens import token_sizes
@@ -47,13 +47,12 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     capacity = table(spark, d, "container_sizes").select("container_kind", "capacity_tokens")
     used = p8_packed(spark, d).where("container_id is not null").groupBy("container_kind").agg(F.countDistinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    return used.join(F.broadcast(capacity), "container_kind").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+    return used.join(capacity, "container_kind").withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
 
 
 def _p9(spark: SparkSession, d: str) -> tuple[DataFrame, list[dict]]:
     targets = table(spark, d, "source_targets")
-    docs = table(spark, d, "documents").join(F.broadcast(targets.select("source")), "source", "left_semi")
-    sizes = token_sizes(docs, "text", ["doc_id", "source"])
+    sizes = token_sizes(of_targets(table(spark, d, "documents"), targets), "text", ["doc_id", "source"])
     plan = budgets(sizes, targets)
     return mix(sizes, plan), plan
 

@@ -13,10 +13,10 @@ def brute(rows, n):
     return {(g, k + 1, i, s) for g, items in best.items() for k, (i, s) in enumerate(sorted(items.items(), key=lambda x: (-x[1], x[0]))[:n])}
 
 
-@pytest.mark.parametrize(("least", "broadcast"), [(10_000, 9), (500, 9), (20, 9), (20, 0)])
+@pytest.mark.parametrize(("least", "broadcast"), [(10_000, 10**6), (500, 10**6), (20, 10**6), (20, 0)])
 def test_equals_brute_force(spark, monkeypatch, least, broadcast):
     monkeypatch.setattr(topn, "MIN_HEAVY", least)
-    monkeypatch.setattr(topn, "BROADCAST_GROUPS", broadcast)
+    monkeypatch.setattr(topn, "BROADCAST_BYTES", broadcast)
     rng = random.Random(1)
     rows = [(rng.choice(["hot"] * 9 + ["a", "b", None]), rng.choice([f"i{rng.randrange(60)}", None, "i1"]), rng.choice([None, float("nan"), 1.0, 2.0, rng.random()])) for _ in range(900)] + [("hot", f"i{k}", 2.0) for k in range(300)] + [("few", "x", 1.0), ("none", "x", None)]
     df = spark.createDataFrame([(*r, 0, "x") for r in rows], "g string, i string, s double, place int, item string").repartition(6)
