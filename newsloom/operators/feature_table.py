@@ -42,19 +42,24 @@ def feature_cells(events: DataFrame, entity: Column, kind: Column, at: Column, a
 
 def feature_table(cells: DataFrame, kinds: list[str], entities: DataFrame | None = None) -> DataFrame:
     """One row per entity: `features`, an array with one struct (kind, n, last_at, total) for each of `kinds`, in order. The entities are those of `cells`, or the distinct non-null ones of `entities` (column `entity`)."""
-    stats = F.struct("n", "last_at", "total")
+    spark = cells.sparkSession
     at = cells.schema["last_at"].dataType
-    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast(at).alias("last_at"), F.lit(0.0).alias("total"))
-    rows = cells.groupBy("entity").agg(F.map_from_entries(F.collect_list(F.struct("kind", stats.alias("s")))).alias("m"))
-    if entities is not None:
-        rows = entities.select("entity").where("entity is not null").distinct().join(rows, "entity", "left")
-    every = F.array(*(F.lit(k) for k in kinds)) if kinds else F.array().cast("array<string>")
 
-    def cell(k: Column) -> Column:
-        s = F.coalesce(F.try_element_at("m", k), none)
-        return F.struct(k.alias("kind"), s["n"].alias("n"), s["last_at"].alias("last_at"), s["total"].alias("total"))
+    def cell(kind: Column, n: Column, last_at: Column, total: Column) -> Column:
+        return F.struct(kind.alias("kind"), n.alias("n"), last_at.alias("last_at"), total.alias("total"))
 
-    return rows.select("entity", F.transform(every, cell).alias("features"))
+    none = [cell(F.lit(k), F.lit(0).cast("long"), F.lit(None).cast(at), F.lit(0.0)) for k in kinds]
+    empty = F.array(*none) if kinds else F.array().cast(f"array<struct<kind:string,n:bigint,last_at:{at.simpleString()},total:double>>")
+    codes = spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, code int")  # at most MAX_TYPES rows
+    filled = cells.join(F.broadcast(codes), "kind").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("code", cell(*(F.col(c) for c in ("kind", "n", "last_at", "total"))).alias("x")))).alias("f"))
+    if entities is not None:
+        filled = entities.select("entity").where("entity is not null").distinct().join(filled, "entity", "left")
+    # A merge of two sorted lists: before each filled cell the empty ones since the last, and after the last the rest.
+    before = F.concat(F.array(F.lit(-1)), F.col("f.code"))
+    runs = F.zip_with(F.slice(before, 1, F.size("f")), "f", lambda p, x: F.concat(F.slice(empty, p + 2, x["code"] - p - 1), F.array(x["x"])))
+    last = F.element_at(before, -1)
+    merged = F.concat(F.flatten(runs), F.slice(empty, last + 2, F.lit(len(kinds)) - last - 1))
+    return filled.select("entity", F.when(F.col("f").isNull(), empty).otherwise(merged).alias("features"))
 
 
 def wide(table: DataFrame, kinds: list[str]) -> DataFrame:

@@ -92,7 +92,7 @@ def category_entropy(history: DataFrame, articles: DataFrame) -> DataFrame:
 def shown_features(cands: DataFrame, articles: DataFrame) -> DataFrame:
     """Features of the list itself: relative position, number of candidates, title length, share of the candidate's category in the catalogue."""
     freq = articles.where("category is not null").groupBy("category").agg(F.count(F.lit(1)).alias("n")).withColumn("category_share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))).drop("n")
-    a = articles.select("article_id", "category", word_count(F.col("title")).alias("title_len")).join(F.broadcast(freq), "category", "left")
+    a = articles.select("article_id", "category", word_count(F.col("title")).alias("title_len")).join(freq, "category", "left")
     n = F.count(F.lit(1)).over(Window.partitionBy("impression_id"))
     rows = cands.withColumn("n_candidates", n).join(a, "article_id", "left")
     return rows.select("impression_id", "article_id", "pos", "n_candidates", (F.col("pos") / F.col("n_candidates")).alias("relative_position"), F.coalesce("title_len", F.lit(0)).alias("title_len"), F.coalesce("category_share", F.lit(0.0)).alias("category_share"))

@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 from newsloom.functions.vectors import dot
 
 
-def impression_auc(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Mann-Whitney AUC with average ranks; null where only one label occurs."""
+def _average_ranks(scored: DataFrame, keys: list[str]) -> DataFrame:
     by_score = Window.partitionBy(*keys).orderBy("score")
     tied = Window.partitionBy(*keys, "score")
-    r = scored.withColumn("_r", F.rank().over(by_score) + (F.count(F.lit(1)).over(tied) - 1) / 2.0)
+    return scored.withColumn("_r", F.rank().over(by_score) + (F.count(F.lit(1)).over(tied) - 1) / 2.0)
+
+
+def _auc() -> Column:
+    """Over the rows of a group with `_r` and `label`."""
     pos, n = F.sum("label"), F.count(F.lit(1))
     hit = F.sum(F.when(F.col("label") == 1, F.col("_r")))
-    return r.groupBy(*keys).agg(F.when((pos > 0) & (pos < n), (hit - pos * (pos + 1) / 2.0) / (pos * (n - pos))).alias("auc"))
+    return F.when((pos > 0) & (pos < n), (hit - pos * (pos + 1) / 2.0) / (pos * (n - pos)))
+
+
+def impression_auc(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """Mann-Whitney AUC with average ranks; null where only one label occurs."""
+    return _average_ranks(scored, keys).groupBy(*keys).agg(_auc().alias("auc"))
 
 
 def ranked(scored: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,8 +50,8 @@ def _discount(rank: int) -> float:
 
 def impression_metrics(scored: DataFrame, keys: list[str]) -> DataFrame:
     """`auc`, `mrr`, `ndcg5`, `ndcg10` per group, for groups with both labels."""
-    r = ranked(scored, keys).groupBy(*keys).agg(F.coalesce(1.0 / F.min(F.when(F.col("label") == 1, F.col("rank"))), F.lit(0.0)).alias("mrr"), ndcg(5).alias("ndcg5"), ndcg(10).alias("ndcg10"))
-    return impression_auc(scored, keys).where("auc is not null").join(r, keys)
+    first = F.coalesce(1.0 / F.min(F.when(F.col("label") == 1, F.col("rank"))), F.lit(0.0))
+    return ranked(_average_ranks(scored, keys), keys).groupBy(*keys).agg(_auc().alias("auc"), first.alias("mrr"), ndcg(5).alias("ndcg5"), ndcg(10).alias("ndcg10")).where("auc is not null")
 
 
 def top_lists(scored: DataFrame, keys: list[str], k: int = 5) -> DataFrame:

@@ -16,12 +16,13 @@ def dense_numbers(df: DataFrame, *order: str) -> DataFrame:
     """`df` with `row_no` from 0 in the global order of `order`, by counts per range partition."""
     ranged = written(df.orderBy(*order).withColumn("_rid", F.monotonically_increasing_id()))
     part = F.shiftright("_rid", 33).cast("int")
-    sizes = sorted((r[0], r[1]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
-    starts, before = {}, 0
-    for p, n in sizes:
-        starts[p], before = before, before + n
-    start = F.create_map(*(F.lit(x) for kv in starts.items() for x in kv)) if starts else F.create_map(F.lit(0), F.lit(0))
-    return ranged.withColumn("row_no", F.element_at(start, part).cast("long") + F.col("_rid").bitwiseAND(2**33 - 1)).drop("_rid")
+    sizes = dict((r[0], r[1]) for r in ranged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
+    starts, before = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        starts.append(before)
+        before += sizes.get(p, 0)
+    start = F.get(F.array(*(F.lit(x).cast("long") for x in starts or [0])), part)
+    return ranged.withColumn("row_no", start + F.col("_rid").bitwiseAND(2**33 - 1)).drop("_rid")
 
 
 def seeded_sample(numbered: DataFrame, n_rows: int, size: int, seed: int = 42) -> DataFrame:

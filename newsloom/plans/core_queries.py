@@ -85,7 +85,7 @@ def _hot_clicked(b: DataFrame) -> list:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     t = feature_table(*_p5(spark, d))
-    return t.select(F.col("entity").alias("user_id"), F.explode(F.filter("features", lambda x: x["n"] > 0)).alias("x")).select("user_id", F.col("x.kind").alias("subcategory"))
+    return t.select(F.col("entity").alias("user_id"), F.inline("features")).where("n > 0").select("user_id", F.col("kind").alias("subcategory"))
 
 
 def p5_feature_table(spark: SparkSession, d: str) -> DataFrame:

@@ -458,10 +458,12 @@ def leaked_history(s: SparkSession, d: str) -> DataFrame:
 @query
 def leaked_history_auc(s: SparkSession, d: str) -> DataFrame:
     b = Base(s, d)
-    h = written(b.history())
-    leaked = ablation.leaked_history(h, b.imps.where("split = 'val'"), b.articles)
-    clean = metrics.impression_auc(b.emb(history=h), ["impression_id"]).agg(F.round(F.avg("auc"), 6).alias("auc")).withColumn("kind", F.lit("clean"))
-    return clean.unionByName(metrics.impression_auc(b.emb(history=leaked), ["impression_id"]).agg(F.round(F.avg("auc"), 6).alias("auc")).withColumn("kind", F.lit("leaked")))
+    h, v, shown = written(b.history()), b.vectors, b.cands()
+    out = None
+    for kind, users in (("clean", retrieval.user_vectors(h, v, DIMS)), ("leaked", ablation.leaked_user_vectors(h, b.imps.where("split = 'val'"), b.articles, v, DIMS))):
+        auc = metrics.impression_auc(retrieval.score_candidates(shown, users, v), ["impression_id"]).agg(F.round(F.avg("auc"), 6).alias("auc")).withColumn("kind", F.lit(kind))
+        out = auc if out is None else out.unionByName(auc)
+    return out
 
 
 # --- sampling, intervals, learning to rank ------------------------------------------------------
