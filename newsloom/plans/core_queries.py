@@ -50,11 +50,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_news_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return loaded(table(spark, d, "news_lines"), "news")
+    return loaded(table(spark, d, "news_lines"), "news").drop("title_entity_list", "abstract_entity_list")
+
+
+def p2_news_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The typed entities of the loaded lines, a row each."""
+    rows = loaded(table(spark, d, "news_lines"), "news")
+    both = F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f"{f}_entity_list").alias("l")) for f in ("title", "abstract")))
+    e = rows.select("line_id", F.explode(both).alias("x")).select("line_id", "x.field_name", F.posexplode("x.l").alias("place", "e"))
+    return e.select("line_id", "field_name", "place", "e.label", "e.wikidata_id", "e.confidence", F.array_join(F.col("e.offsets").cast("array<string>"), " ").alias("offsets"))
 
 
 def p2_behavior_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return loaded(table(spark, d, "behavior_lines"), "behavior")
+    r = loaded(table(spark, d, "behavior_lines"), "behavior")
+    return r.select("line_id", "impression_id", "user_id", F.col("time").alias("ts"), *(F.array_join(c, " ").alias(c) for c in ("history", "candidates", "clicked")))
 
 
 def _p3(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +114,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return unpack(table(spark, d, "mind_behaviors"), ["history", "impressions"], "row_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_user_runs, p1_article_clicks, p2_found, p2_news_loaded, p2_behavior_loaded, p3_found, p3_history_at_click, p5_found, p5_feature_table, p6_found)}
+def _flat(query):
+    """The query with its arrays as joined strings, so that any engine's rows can be compared."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = query(spark, d)
+        text = {"timestamp_ntz": lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS"), "double": lambda x: x.cast("decimal(18,2)").cast("string"), "string": lambda x: x}
+        items = {c: t[6:-1] for c, t in df.dtypes if t.startswith("array<")}
+        return df.select(*(F.array_join(F.transform(c, text[items[c]]), " ", "-").alias(c) if c in items else F.col(c) for c in df.columns))
+
+    run.__name__ = query.__name__
+    return run
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_user_runs, p1_article_clicks, p2_found, p2_news_loaded, p2_news_entities, p2_behavior_loaded, p3_found, _flat(p3_history_at_click), p5_found, _flat(p5_feature_table), p6_found)}
 
 _RUNS = """WITH e AS ({events}), g AS (
   SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY k ORDER BY ts)) > 1800000000 THEN 1 ELSE 0 END AS broke FROM e WHERE k IS NOT NULL)
@@ -142,17 +164,25 @@ v AS (SELECT line_kind, line_id, CASE WHEN NOT quoted_well THEN 'quoting' WHEN l
 SQL = {
     "p2_found": f"{_P2} SELECT line_kind, line_id, reason FROM v WHERE reason IS NOT NULL",
     "p2_news_loaded": f"{_P2} SELECT line_id, f[1] AS news_id, f[2] AS category, f[3] AS subcategory, f[4] AS title, f[5] AS abstract, f[6] AS url, f[7] AS title_entities, f[8] AS abstract_entities FROM q JOIN v USING (line_kind, line_id) WHERE line_kind = 'news' AND reason IS NULL",
+    "p2_news_entities": f"""{_P2}, n AS (SELECT line_id, unnest([{{'field_name': 'title', 'j': f[7]}}, {{'field_name': 'abstract', 'j': f[8]}}]) AS x FROM q JOIN v USING (line_kind, line_id) WHERE line_kind = 'news' AND reason IS NULL),
+j AS (SELECT line_id, x.field_name, from_json(CASE WHEN x.j = '' THEN '[]' ELSE x.j END, '[{{"Label":"VARCHAR","WikidataId":"VARCHAR","Confidence":"DOUBLE","OccurrenceOffsets":["BIGINT"]}}]') AS l FROM n)
+SELECT line_id, field_name, CAST(k - 1 AS INT) AS place, l[k].Label AS label, l[k].WikidataId AS wikidata_id, l[k].Confidence AS confidence, coalesce(array_to_string(l[k].OccurrenceOffsets, ' '), '') AS offsets
+FROM (SELECT *, unnest(range(1, len(l) + 1)) AS k FROM j)""",
+    "p2_behavior_loaded": f"""{_P2}, r AS (SELECT line_id, split, f, string_split(f[5], ' ') AS s FROM q JOIN v USING (line_kind, line_id) WHERE line_kind = 'behavior' AND reason IS NULL)
+SELECT line_id, f[1] AS impression_id, f[2] AS user_id, strptime(f[3], '%m/%d/%Y %I:%M:%S %p') AS ts, f[4] AS history,
+  CASE WHEN split = 'test' THEN f[5] ELSE array_to_string(list_transform(s, lambda x: x[:-3]), ' ') END AS candidates,
+  CASE WHEN split <> 'test' THEN coalesce(array_to_string(list_transform(list_filter(s, lambda x: x[-1:] = '1'), lambda x: x[:-3]), ' '), '') END AS clicked FROM r""",
     "p1_found": """SELECT 'user_id' AS key_field, user_id AS key_value FROM behaviors WHERE user_id IS NOT NULL GROUP BY user_id HAVING count(*) >= 0.02 * (SELECT count(*) FROM behaviors)
 UNION ALL SELECT 'clicked_article_ids', a FROM (SELECT unnest(clicked_article_ids) AS a FROM behaviors) WHERE a IS NOT NULL GROUP BY a
 HAVING count(*) >= 0.02 * (SELECT sum(len(clicked_article_ids)) FROM behaviors)""",
     "p1_user_runs": _RUNS.format(key="user_id", events='SELECT user_id AS k, "timestamp" AS ts, coalesce(len(clicked_article_ids), 0) AS c FROM behaviors', more=", CAST(sum(c) AS BIGINT) AS clicks"),
     "p1_article_clicks": _RUNS.format(key="article_id", events='SELECT unnest(clicked_article_ids) AS k, "timestamp" AS ts FROM behaviors', more=""),
     "p3_found": f"WITH {_P3} SELECT * FROM p3",
-    "p3_history_at_click": f"WITH {_P3} SELECT impression_id, history_id, CAST(coalesce(len(history), 0) AS INT) AS n_items, history[-1] AS newest, history FROM p3 JOIN user_history USING (history_id)",
+    "p3_history_at_click": f"WITH {_P3} SELECT impression_id, history_id, CAST(coalesce(len(history), 0) AS INT) AS n_items, history[-1] AS newest, array_to_string(list_transform(history, lambda x: coalesce(x, '-')), ' ') AS history FROM p3 JOIN user_history USING (history_id)",
     "p5_found": f"WITH {_P5} SELECT user_id, subcategory FROM cells",
     "p5_feature_table": f"""WITH {_P5}, types AS (SELECT DISTINCT subcategory FROM kinds), users AS (SELECT DISTINCT user_id FROM behaviors WHERE user_id IS NOT NULL)
 SELECT user_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY subcategory) AS clicks, max(last_at) AS last_click, round(sum(coalesce(total, 0)), 2) AS read_time,
-  list(last_at ORDER BY subcategory) AS last_at, list(round(coalesce(total, 0), 2) ORDER BY subcategory) AS total
+  string_agg(coalesce(strftime(last_at, '%Y-%m-%d %H:%M:%S.%f'), '-'), ' ' ORDER BY subcategory) AS last_at, string_agg(CAST(CAST(round(coalesce(total, 0), 2) AS DECIMAL(18,2)) AS VARCHAR), ' ' ORDER BY subcategory) AS total
 FROM users CROSS JOIN types LEFT JOIN cells USING (user_id, subcategory) GROUP BY user_id""",
     "p6_found": r"""WITH t AS (SELECT row_id, 'history' AS field_name, history AS s FROM mind_behaviors UNION ALL SELECT row_id, 'impressions', impressions FROM mind_behaviors),
 x AS (SELECT row_id, field_name, list_filter(list_transform(regexp_extract_all(s, '"[^"]*"|''[^'']*''|[A-Za-z0-9-]+'),

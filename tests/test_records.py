@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from newsloom.sources.records import assemble_lines, fields_of, judge, loaded, parse_records, quote_moves, read_records, rejected
+from newsloom.sources.records import assemble_lines, assembled, fields_of, judge, loaded, parse_records, quote_moves, read_records, rejected
 
 GOOD = '[{"Label": "A", "WikidataId": "Q1", "Confidence": 0.5, "OccurrenceOffsets": [0, 3]}]'
 news = lambda *f: "\t".join(["N1", "c", "s", "t", "a", "u", GOOD, "[]"][: 8 - len(f)] + list(f)) if f else "\t".join(["N1", "c", "s", "t", "a", "u", GOOD, "[]"])
@@ -125,6 +125,30 @@ def test_assembled_records_equal_the_csv_reader(spark, tmp_path):
     got = [r["value"] for r in assemble_lines(df, block_lines=7).where("file = 'f'").orderBy("line_no").collect()]
     want = list(csv.reader(io.StringIO(text), delimiter="\t"))
     assert [next(csv.reader(io.StringIO(g), delimiter="\t")) for g in got] == want
-    assert [r["value"] for r in assemble_lines(df, block_lines=2).where("file = 'g'").orderBy("line_no").collect()] == ['only "here', '"open\nend']
+    assert [r["value"] for r in assemble_lines(df, block_lines=2).where("file = 'g'").orderBy("line_no").collect()] == ['only "here', '"open', "end"]
     (tmp_path / "b.tsv").write_text('1\tU1\t3/5/2019 1:00:00 AM\t"N1"\tN1-0\n2\t"U2\nx"\t\t\t\n')
     assert sorted((r["reason"] or "") for r in read_records(spark, str(tmp_path / "b.tsv"), "behavior", "train").collect()) == ["", "value"]
+
+
+def test_a_stray_quote_spoils_no_more_than_its_own_line(spark):
+    good = "1\tU1\t3/5/2019 1:00:00 AM\t\tN1-0"
+    split = ['2\t"U2', 'x"\t3/5/2019 1:00:00 AM\t\tN1-0']
+    lines = [good, '3\t"stray', good, *split, "", '4\t"U3', *["more"] * 30, good]
+    df = spark.createDataFrame([("f", i, x) for i, x in enumerate(lines)], "file string, line_no long, value string")
+    got = {r["line_no"]: r["value"] for r in assemble_lines(df, 5, block_lines=3).collect()}
+    want = {i: x for i, x in enumerate(lines) if i not in (3, 4)} | {3: "\n".join(split)}
+    assert got == want
+
+
+def test_records_have_bounded_length():
+    lines = list(enumerate(['a\t"b', *["x"] * 9, 'c"', "d"]))
+    assert [r[:2] for r in assembled(lines, 2, max_lines=11)] == [(0, "\n".join(x for _, x in lines[:11])), (11, "d")]
+    short = list(assembled(lines, 2, max_lines=10))
+    assert short[0] == (0, 'a\t"b', False) and [(n, x) for n, x, _ in short] == lines
+
+
+def test_entities_come_out_typed(spark):
+    (r,) = loaded(spark.createDataFrame([(1, "train", news())], "line_id long, split string, line string"), "news").collect()
+    assert [tuple(e) for e in r["title_entity_list"]] == [("A", "Q1", 0.5, [0, 3])]
+    (r,) = loaded(spark.createDataFrame([(1, "train", news(GOOD.replace("[0, 3]", "[7, 99999999999999999999999]"), ""))], "line_id long, split string, line string"), "news").collect()
+    assert r["title_entity_list"][0]["offsets"] == [7, None] and r["abstract_entity_list"] == []
