@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.skew import salted_lookup
 from newsloom.session import written
 
 #: Natural texts the classifier is fitted on (chosen by hash, so about as many), with an artificial cut of each intact one.
@@ -50,6 +51,8 @@ SUSPECT, SUSPECT_SINGLE = -1.5, 1.0
 ROUNDS = 2
 #: Closing words are a habit if more whole texts of the sample than this have them, and this many times as often as cuts have.
 HABIT = 3
+#: Up to so many texts (of 17 bytes each) with copies on both sides of the threshold are broadcast; more are met by a join with much-copied ones salted.
+BROADCAST_TEXTS = 500_000
 #: Marks that are appended where a text is cut.
 MARKS = ("…", " …", "...", " ...", " [...]", " (...)")
 _MARK = re.compile(r"\s*(?:…|\.\.\.|\[\.\.\.\]|\(\.\.\.\)|\[…\]|\(…\))$")
@@ -64,6 +67,7 @@ class Corpus:
 
     enders: dict[str, int]  # word -> how common as a sentence end (1 rare .. 3)
     limits: dict[str, list[int]]  # source -> steps of length at which it piles up
+    n_docs: int = 0  # texts that are not null
 
 
 def shape(word: str) -> str:
@@ -78,8 +82,12 @@ def announced(text: str, declared: int | None) -> str:
     return "same" if declared == n else "less" if declared < n else "bit" if declared <= n + 12 else "more" if declared <= 1.5 * n else "far"
 
 
-def features(text: str, source: str | None, corpus: Corpus, declared: int | None = None) -> list[int]:
-    """Hashed features of one non-blank text; the first stands for its closing words."""
+#: Groups of features that go beyond closing characters, words, punctuation and length: the announced length, the form of the last line, the source's own habits.
+SAID, LINE_FORM, OF_SOURCE = {"said", "known said"}, {"first", "lead", "open", "dash", "item", "paren", "digits", "comma", "quote"}, {"src", "named"}
+
+
+def features(text: str, source: str | None, corpus: Corpus, declared: int | None = None, without: frozenset[str] = frozenset()) -> list[int]:
+    """Hashed features of one non-blank text, except those whose name is in `without`; the first stands for its closing words."""
     t = text.rstrip()
     head, _, line = t.rpartition("\n")
     line = line.strip()
@@ -114,6 +122,8 @@ def features(text: str, source: str | None, corpus: Corpus, declared: int | None
         f"len={min(len(t) // 40, 6)}|{kind}|{alone}", f"quote={line.count(chr(34)) % 2}|{kind}", f"bad={'�' in t[-1:]}", f"src={source}|{kind}", f"comma={len(re.findall(', ', line)) > 1}|{lead}|{kind}",
         f"said={said}|{kind}", f"said={said}|{alone}|{in_line}|{kind}", f"named={bool(source) and line.endswith(' - ' + source)}|{in_line}", f"known={known}|{said}|{alone}|{in_line}|{kind}",
     ]
+    if without:
+        names = [n for n in names if n.split("=", 1)[0] not in without]
     return list(dict.fromkeys(zlib.crc32(n.encode("utf-8", "replace")) % DIMENSIONS for n in names))
 
 
@@ -187,31 +197,33 @@ def train(rows: list[tuple[str, str | None, int | None]], corpus: Corpus, seed:
 
 
 def corpus_facts(docs: DataFrame, text: str, source: str) -> Corpus:
-    """The words that end sentences and the lengths at which sources pile up, counted over all documents."""
-    ends = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+)[.?!]"), F.lit(1))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    ends = written(ends)
-    total = ends.agg(F.sum("n")).first()[0] or 0
-    enders = {r["w"]: 1 + (r["n"] > 20 * WORD_SHARE * total) + (r["n"] > 400 * WORD_SHARE * total) for r in ends.where(F.col("n") >= WORD_SHARE * total).collect()}
-
-    trimmed = F.length(F.regexp_replace(text, r"\s+$", ""))
-    sizes = docs.where(F.col(text).isNotNull() & F.col(source).isNotNull()).groupBy(F.col(source).alias("source"), F.floor(trimmed / STEP).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    """The words that end sentences, the lengths at which sources pile up and the number of texts, counted over all documents in one pass."""
+    # Only whole words are tried, each once: without the look-behind every suffix of every word would be.
+    words = F.regexp_extract_all(F.col(text), F.lit(r"(?<![\p{L}\p{N}])([\p{L}\p{N}]++)[.?!]"), F.lit(1))
+    step = F.floor(F.length(F.rtrim(F.col(text), F.lit(" \t\n\x0b\f\r"))) / STEP)
+    marks = F.concat(F.transform(words, lambda w: F.struct(F.lower(w).alias("word"), F.lit(None).cast("long").alias("step"))), F.array(F.struct(F.lit(None).cast("string").alias("word"), step.alias("step"))))
+    counted = docs.where(F.col(text).isNotNull()).select(F.col(source).alias("source"), F.explode(marks).alias("m")).select(F.when(F.col("m.word").isNull(), F.col("source")).alias("source"), "m.*")
+    counted = written(counted.groupBy("source", "word", "step").agg(F.count(F.lit(1)).alias("n")))
+    total, all_docs = (x or 0 for x in counted.agg(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.sum(F.when(F.col("word").isNull(), F.col("n")))).first())
+    common = counted.where(F.col("word").isNotNull() & (F.col("n") >= WORD_SHARE * total)).select("word", "n").collect()  # at most 1 / WORD_SHARE
+    enders = {r["word"]: 1 + (r["n"] > 20 * WORD_SHARE * total) + (r["n"] > 400 * WORD_SHARE * total) for r in common}
+
+    sizes = counted.where(F.col("word").isNull() & F.col("source").isNotNull()).select("source", "step", "n")
     of_source = Window.partitionBy("source")
     near = Window.partitionBy("source").orderBy("step").rangeBetween(-10, 10)
-    all_docs = docs.count()
     sizes = sizes.withColumn("docs", F.sum("n").over(of_source)).withColumn("around", F.sum("n").over(near))
     found = sizes.where((F.col("docs") >= SOURCE_SHARE * all_docs) & (F.col("n") >= 8) & (F.col("n") >= LIMIT_SHARE * F.col("docs")) & (F.col("n") * 20 >= LIMIT_RATIO * (F.col("around") - F.col("n"))) & (F.col("step") >= 12))
     limits: dict[str, list[int]] = {}
     for r in found.select("source", "step").collect():  # at most 1 / LIMIT_SHARE steps a source
         limits.setdefault(r["source"], []).append(r["step"])
-    return Corpus(enders, {k: sorted(v) for k, v in limits.items()})
+    return Corpus(enders, {k: sorted(v) for k, v in limits.items()}, all_docs)
 
 
 def fit(docs: DataFrame, doc_id: str, text: str, source: str, declared: str | None = None, train_docs: int = TRAIN_DOCS) -> tuple[np.ndarray, Corpus]:
     corpus = corpus_facts(docs, text, source)
-    n_docs = docs.where(F.col(text).isNotNull()).count()
     # A share of the hash range, not the first rows of a sort: no task gathers more than its part of the sample.
     place = F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(3)), 11)
-    below = F.lit(min(2**53, round(2**53 * train_docs / max(1, n_docs))))
+    below = F.lit(min(2**53, round(2**53 * train_docs / max(1, corpus.n_docs))))
     picked = docs.where(F.col(text).isNotNull() & (place < below)).select(place.alias("k"), F.col(text), F.col(source), _said(declared))
     rows = sorted(((r[0], r[1], r[2], r[3]) for r in picked.toLocalIterator()), key=lambda r: (r[0], r[1]))
     return train([r[1:] for r in rows], corpus), corpus
@@ -243,10 +255,14 @@ def verdicts(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Copies differ in score only through their sources, so few texts need the
     lookup: those with a copy on either side of the threshold.
     """
-    scored = written(scored)
+    scored = written(scored.withColumn("copy", F.struct("h1", "h2")).drop("h1", "h2"))
     hit = F.col("score") >= threshold
-    mixed = scored.groupBy("h1", "h2").agg(F.max(hit).alias("any"), F.min(hit).alias("every")).where("any and not every").select("h1", "h2", "any")
-    return scored.join(mixed, ["h1", "h2"], "left").select("doc_id", "source", "score", F.coalesce("any", hit).alias("truncated"))
+    mixed = written(scored.groupBy("copy").agg(F.max(hit).alias("any"), F.min(hit).alias("every")).where("any and not every").select("copy", "any"))
+    if mixed.count() <= BROADCAST_TEXTS:
+        both = scored.join(F.broadcast(mixed), "copy", "left")
+    else:
+        both = salted_lookup(scored, mixed, "copy", "left")
+    return both.select("doc_id", "source", "score", F.coalesce("any", hit).alias("truncated"))
 
 
 def truncation_rates(judged: DataFrame) -> DataFrame:
