@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import article_text, tokenize
+from newsloom.operators.skew import salted_lookup
 
 K1, B = 1.5, 0.75
 
@@ -21,9 +22,9 @@ class Index:
     avgdl: float
 
 
-def build(articles: DataFrame, idf_floor: float | None = None) -> Index:
-    """All articles count for N and the mean length, also those without a word. `idf_floor` gives the floored variant."""
-    words = articles.select("article_id", tokenize(article_text(F.col("title"), F.col("abstract"))).alias("w"))
+def build(articles: DataFrame, idf_floor: float | None = None, words: Column | None = None) -> Index:
+    """All articles count for N and the mean length, also those without a word. `idf_floor` gives the floored variant, `words` other words (such as stems)."""
+    words = articles.select("article_id", (tokenize(article_text(F.col("title"), F.col("abstract"))) if words is None else words).alias("w"))
     docs = words.select("article_id", F.size("w").alias("dl"))
     n, avgdl = docs.agg(F.count(F.lit(1)), F.avg("dl")).first()
     postings = words.select("article_id", F.explode("w").alias("term")).groupBy("article_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -45,7 +46,7 @@ def impacts(i: Index, k1: float = K1, b: float = B) -> DataFrame:
 
 def search(i: Index, queries: DataFrame, k: int = 50) -> DataFrame:
     """The `k` best articles of each query (`query_id`, `term`: distinct terms), those without a common term never; ties by article_id."""
-    s = queries.join(impacts(i), "term").groupBy("query_id", "article_id").agg(F.round(F.sum("w"), 9).alias("score"))
+    s = salted_lookup(queries.select("query_id", "term"), impacts(i), "term").groupBy("query_id", "article_id").agg(F.round(F.sum("w"), 9).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "article_id")
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

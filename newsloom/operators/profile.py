@@ -26,3 +26,19 @@ def schema_difference(a: DataFrame, b: DataFrame) -> dict[str, list[str]]:
     """Columns only in one of two tables, and those whose types differ."""
     x, y = dict(a.dtypes), dict(b.dtypes)
     return {"only_a": sorted(x.keys() - y.keys()), "only_b": sorted(y.keys() - x.keys()), "types": sorted(c for c in x.keys() & y.keys() if x[c] != y[c])}
+
+
+def describe(df: DataFrame, cols: list[str]) -> DataFrame:
+    """`column_name`, `n`, `mean`, `stddev`, `least`, `greatest` of numeric columns, in one pass."""
+    stats = {"n": F.count, "mean": F.avg, "stddev": F.stddev_samp, "least": F.min, "greatest": F.max}
+    row = df.select(*(F.col(c).cast("double").alias(c) for c in cols)).agg(*(f(c).alias(f"{c}_{n}") for c in cols for n, f in stats.items()))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"{c}_{n}").alias(n) for n in stats)) for c in cols))))
+
+
+def table_metadata(tables: dict[str, DataFrame]) -> DataFrame:
+    """`table_name`, `n_columns`, `n_rows`: schemas and counts, which read no column of a parquet table."""
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), F.lit(len(df.columns)).cast("long").alias("n_columns"), "n_rows")
+        out = one if out is None else out.unionByName(one)
+    return out

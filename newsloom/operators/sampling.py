@@ -37,3 +37,10 @@ def seeded_sample(numbered: DataFrame, n_rows: int, size: int, seed: int = 42) -
 def hash_sample(df: DataFrame, key: Column, size: int, seed: int = 42) -> DataFrame:
     """`size` rows in the order of a hash of `key`."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+
+
+def two_stage_sample(df: DataFrame, fit: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """`size` rows of `df` whose `key` is in `fit`, out of a hash-chosen pool half as large again: what doesn't fit is looked for in the pool only. With `draw`."""
+    pool = hash_sample(df, F.col(key), -(-size * 3 // 2), seed)
+    left = dense_numbers(pool.join(fit.select(key), key, "left_semi"), key)
+    return seeded_sample(left, left.count(), size, seed)

@@ -40,3 +40,9 @@ def verify_split_integrity(splits: list[tuple[str, DataFrame]], id_col: str, ts:
     for (a, _, end), (b, start, _) in zip(spans, spans[1:], strict=False):
         if end > start:
             raise AssertionError(f"temporal split violated: {a} ends at {end}, {b} starts at {start}")
+
+
+def strict_order(df: DataFrame, split: str, ts: str, earlier: str, later: str) -> DataFrame:
+    """One row: `last_before`, `first_after`, and `in_order`, whether all of `earlier` lies strictly before `later`."""
+    at = {n: F.when(F.col(split) == n, F.col(ts)) for n in (earlier, later)}
+    return df.agg(F.max(at[earlier]).alias("last_before"), F.min(at[later]).alias("first_after")).withColumn("in_order", F.col("last_before") < F.col("first_after"))

@@ -30,9 +30,9 @@ def title_terms(given: DataFrame, articles: DataFrame, n: int = RECENT_TITLES, w
     return w.groupBy("impression_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "c")))).alias("counts"))
 
 
-def bm25_scores(cands: DataFrame, counts: DataFrame, articles: DataFrame) -> DataFrame:
-    """Floored BM25 of candidates; a word of the query counts as often as it occurs there; impressions without a query score 0."""
-    maps = bm25.impacts(bm25.build(articles, IDF_FLOOR)).groupBy("article_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("m"))
+def bm25_scores(cands: DataFrame, counts: DataFrame, index: bm25.Index) -> DataFrame:
+    """BM25 of candidates in a floored index; a word of the query counts as often as it occurs there; impressions without a query score 0."""
+    maps = bm25.impacts(index).groupBy("article_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("m"))
     both = cands.join(counts, "impression_id", "left").join(maps, "article_id", "left")
     total = F.aggregate(F.array_sort(F.array_intersect(F.map_keys("m"), F.map_keys("counts"))), F.lit(0.0), lambda s, t: s + F.element_at("m", t) * F.element_at("counts", t))
     return both.withColumn("bm25_score", F.coalesce(total, F.lit(0.0))).drop("m", "counts")
@@ -57,7 +57,7 @@ def feature_table(cands: DataFrame, given: DataFrame, articles: DataFrame, vecto
     most = clicks.agg(F.max("clicks")).first()[0] or 1
     users = [user_vector(given, vectors, dims, r).select("impression_id", unit(F.col("vec")).alias(n)) for n, r in (("u", 0.0), ("ud", 0.1))]
     n = F.count(F.lit(1)).over(Window.partitionBy("impression_id"))
-    rows = bm25_scores(cands.withColumn("n_candidates", n), title_terms(given, articles), articles)
+    rows = bm25_scores(cands.withColumn("n_candidates", n), title_terms(given, articles), bm25.build(articles, IDF_FLOOR))
     rows = rows.join(given.select("impression_id", F.size("items").alias("hist_len")), "impression_id", "left").join(a.select("article_id", "category", word_count(F.col("title")).alias("title_len")), "article_id", "left")
     rows = rows.join(entropy, "impression_id", "left").join(cat, ["impression_id", "category"], "left").join(freq, "category", "left").join(clicks, "article_id", "left").join(vectors, "article_id", "left")
     rows = rows.join(users[0], "impression_id", "left").join(users[1], "impression_id", "left")
@@ -92,8 +92,22 @@ def novelty10(top: DataFrame, clicks: DataFrame, keys: list[str]) -> DataFrame:
     return top.join(share, "article_id", "left").groupBy(*keys).agg(F.avg(-F.log2(F.greatest(F.coalesce("share", F.lit(0.0)), F.lit(1e-10)))).alias("novelty"))
 
 
-def recall_preview(recalls: DataFrame, hist_len: str, a: str, b: str, cutoff: int = 5) -> DataFrame:
-    """Mean recall of two methods overall and for short and long histories, and the better one."""
+def recall_preview(recalls: DataFrame, hist_len: str, a: str, b: str, cutoff: int = 5, by: list[str] | None = None) -> DataFrame:
+    """Mean recall of two methods overall and for short and long histories, and the better one; for each group of `by`."""
+    by = by or []
     part = F.explode(F.array(F.lit("overall"), F.when(F.col(hist_len) < cutoff, "short").otherwise("long"))).alias("slice")
-    m = recalls.select(part, a, b).groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias(a), F.avg(b).alias(b))
+    m = recalls.select(*by, part, a, b).groupBy(*by, "slice").agg(F.count(F.lit(1)).alias("n"), F.avg(a).alias(a), F.avg(b).alias(b))
     return m.withColumn("winner", F.when(F.col(a) > F.col(b), a).when(F.col(b) > F.col(a), b).otherwise("tie"))
+
+
+def parse_shown(shown: Column) -> tuple[Column, Column]:
+    """Items and labels (1, 0, or -1 without one) of packed entries `id-label`, cut at the last `-`."""
+    labelled = lambda x: x.rlike("-[01]$")
+    items = F.transform(shown, lambda x: F.when(labelled(x), F.substring(x, F.lit(1), F.length(x) - 2)).otherwise(x))
+    return items, F.transform(shown, lambda x: F.when(labelled(x), F.right(x, F.lit(1)).cast("int")).otherwise(F.lit(-1)))
+
+
+def label_popularity(labelled: DataFrame) -> DataFrame:
+    """`article_id`, `clicks`: how often each article stands at a place labelled 1."""
+    x = labelled.select(F.explode(F.arrays_zip("cands", "labels")).alias("x")).where("x.labels = 1")
+    return x.groupBy(F.col("x.cands").alias("article_id")).agg(F.count(F.lit(1)).alias("clicks"))

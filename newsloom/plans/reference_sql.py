@@ -115,7 +115,7 @@ SQL = {
     "recent_history_top20": sql("SELECT impression_id, h, article_id, click_ts FROM hist"),
     "recent_history_train": sql("SELECT i.impression_id, CAST(count(h) AS INT) AS n_hist, coalesce(string_agg(article_id, ' ' ORDER BY h), '') AS items FROM imps i LEFT JOIN histall USING (impression_id) WHERE i.split = 'train' GROUP BY 1"),
     "cold_start_counts": sql("SELECT dataset, count(*) AS n, count_if(m IS NULL) AS cold, count_if(m > 0 AND len(clicked) > 0) AS eligible FROM imps LEFT JOIN (SELECT impression_id, count(*) AS m FROM hist GROUP BY 1) USING (impression_id) WHERE split = 'val' GROUP BY 1"),
-    "leakage_violations": "SELECT CAST(0 AS BIGINT) AS violations",
+    "leakage_violations": sql("SELECT count(*) AS violations FROM hist WHERE click_ts >= ts"),
     "train_articles_only": sql("SELECT impression_id, string_agg(article_id, ' ' ORDER BY h) AS items FROM hist WHERE article_id IN (SELECT article_id FROM pop) GROUP BY 1"),
     "bm25_idf": sql("SELECT term, df, round(idf, 6) AS idf FROM idf"),
     "bm25_search_top50": sql("SELECT query_id, article_id, rank, round(score, 6) AS score FROM hits WHERE rank <= 50"),

@@ -17,6 +17,11 @@ from newsloom.operators.splits import verify_split_integrity
 INNER_NAMES = {"mind": "prediction.txt", "ebnerd": "predictions.txt"}
 
 
+def in_input_order(df: DataFrame) -> DataFrame:
+    """A table read from files, with `_file` and `_row`: the order in which its rows were delivered. A filter on `_row` reaches the scan."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def rank_lines(scored: DataFrame) -> DataFrame:
     """`seq`, `line` = `id [r1,r2,...]`: ranks in the order of the candidates, equal scores by position.
 
