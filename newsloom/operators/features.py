@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import word_count
 from newsloom.operators.history import exploded
 
+#: The half-life of a click, and the names of the features.
 HALF_LIFE_HOURS = 72.0
 FEATURES = [
     "bm25_score", "embedding_score", "candidate_position", "hist_click_count", "hist_recency_weighted_count", "hist_category_match", "hist_category_match_weighted",

@@ -34,12 +34,12 @@ def verify_split_integrity(splits: list[tuple[str, DataFrame]], id_col: str, ts:
         for b, y in splits[i + 1 :]:
             n = x.select(id_col).intersect(y.select(id_col)).count()
             if n:
-                raise AssertionError(f"{n} ids appear in both {a} and {b}")
+                raise AssertionError(f"splits {a} and {b} share {n} ids")
     spans = [(name, *df.agg(F.min(ts), F.max(ts)).first()) for name, df in splits]
     spans = [s for s in spans if s[1] is not None]
     for (a, _, end), (b, start, _) in zip(spans, spans[1:], strict=False):
         if end > start:
-            raise AssertionError(f"temporal split violated: {a} ends at {end}, {b} starts at {start}")
+            raise AssertionError(f"split {b} begins at {start}, before {a} is over ({end})")
 
 
 def strict_order(df: DataFrame, split: str, ts: str, earlier: str, later: str) -> DataFrame:

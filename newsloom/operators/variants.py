@@ -30,9 +30,9 @@ def title_terms(given: DataFrame, articles: DataFrame, n: int = RECENT_TITLES, w
     return w.groupBy("impression_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "c")))).alias("counts"))
 
 
-def bm25_scores(cands: DataFrame, counts: DataFrame, index: bm25.Index) -> DataFrame:
-    """BM25 of candidates in a floored index; a word of the query counts as often as it occurs there; impressions without a query score 0."""
-    maps = bm25.impacts(index).groupBy("article_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("m"))
+def bm25_scores(cands: DataFrame, counts: DataFrame, articles: DataFrame, words: Column | None = None) -> DataFrame:
+    """Floored BM25 of candidates, over `words` of the articles instead of the usual ones if given; a word of the query counts as often as it occurs there; impressions without a query score 0."""
+    maps = bm25.impacts(bm25.build(articles, IDF_FLOOR, words)).groupBy("article_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("term", "w")))).alias("m"))
     both = cands.join(counts, "impression_id", "left").join(maps, "article_id", "left")
     total = F.aggregate(F.array_sort(F.array_intersect(F.map_keys("m"), F.map_keys("counts"))), F.lit(0.0), lambda s, t: s + F.element_at("m", t) * F.element_at("counts", t))
     return both.withColumn("bm25_score", F.coalesce(total, F.lit(0.0))).drop("m", "counts")
@@ -57,7 +57,7 @@ def feature_table(cands: DataFrame, given: DataFrame, articles: DataFrame, vecto
     most = clicks.agg(F.max("clicks")).first()[0] or 1
     users = [user_vector(given, vectors, dims, r).select("impression_id", unit(F.col("vec")).alias(n)) for n, r in (("u", 0.0), ("ud", 0.1))]
     n = F.count(F.lit(1)).over(Window.partitionBy("impression_id"))
-    rows = bm25_scores(cands.withColumn("n_candidates", n), title_terms(given, articles), bm25.build(articles, IDF_FLOOR))
+    rows = bm25_scores(cands.withColumn("n_candidates", n), title_terms(given, articles), articles)
     rows = rows.join(given.select("impression_id", F.size("items").alias("hist_len")), "impression_id", "left").join(a.select("article_id", "category", word_count(F.col("title")).alias("title_len")), "article_id", "left")
     rows = rows.join(entropy, "impression_id", "left").join(cat, ["impression_id", "category"], "left").join(freq, "category", "left").join(clicks, "article_id", "left").join(vectors, "article_id", "left")
     rows = rows.join(users[0], "impression_id", "left").join(users[1], "impression_id", "left")

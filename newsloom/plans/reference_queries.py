@@ -469,9 +469,19 @@ def leaked_history_auc(s: SparkSession, d: str) -> DataFrame:
 # --- sampling, intervals, learning to rank ------------------------------------------------------
 
 
+#: Fixed value: the size of the sample that intervals are taken over.
+SAMPLE = 5000
+
+
+def _sample(b: Base) -> DataFrame:
+    """`impression_id` of the seeded sample of val impressions."""
+    i = sampling.dense_numbers(b.imps.where("split = 'val'").select("impression_id", "ts"), "ts", "impression_id")
+    return sampling.seeded_sample(i, i.count(), SAMPLE).select("impression_id", "ts", "draw")
+
+
 def _val_metrics(s: SparkSession, d: str) -> DataFrame:
     b = Base(s, d)
-    x = b.both()
+    x = b.both().join(written(_sample(b)).select("impression_id"), "impression_id", "left_semi")
     long = x.select(F.lit("bm25").alias("method"), "impression_id", "pos", "label", F.col("bm25").alias("score")).unionByName(x.select(F.lit("embeddings").alias("method"), "impression_id", "pos", "label", F.col("emb").alias("score")))
     return metrics.impression_metrics(long, ["method", "impression_id"])
 
@@ -479,8 +489,7 @@ def _val_metrics(s: SparkSession, d: str) -> DataFrame:
 @query
 def seeded_sample(s: SparkSession, d: str) -> DataFrame:
     """5,000 val impressions (all, if there are fewer), as a seeded draw from their list in time order."""
-    i = sampling.dense_numbers(Base(s, d).imps.where("split = 'val'").select("impression_id", "ts"), "ts", "impression_id")
-    return sampling.seeded_sample(i, i.count(), 5000)
+    return _sample(Base(s, d))
 
 
 @query
@@ -498,7 +507,8 @@ def paired_bootstrap_ci(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def coverage_ci(s: SparkSession, d: str) -> DataFrame:
-    lists = _top5(s, d).groupBy("split", "impression_id").agg(F.collect_list("article_id").alias("items"))
+    top = _top5(s, d).join(written(_sample(Base(s, d))).select("impression_id"), "impression_id", "left_semi")
+    lists = top.groupBy("split", "impression_id").agg(F.collect_list("article_id").alias("items"))
     return bootstrap.coverage_ci(lists, ["split"], "items", "impression_id", Base(s, d).articles.count())
 
 
@@ -517,7 +527,8 @@ def learned_alpha(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ranker(s: SparkSession, d: str, pop: tuple[str, ...] = ("train",)) -> lambdamart.Ranker:
-    return lambdamart.train(_feature_table(s, d, "train", pop), features.FEATURES, max_rows=100_000, trees=50)
+    """Fitted with the operator's own sizes: at most lambdamart.MAX_ROWS candidates, 200 trees."""
+    return lambdamart.train(_feature_table(s, d, "train", pop), features.FEATURES)
 
 
 @query
@@ -533,25 +544,33 @@ def ltr_importance(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ltr_leaked_popularity(s: SparkSession, d: str) -> DataFrame:
-    """Mean AUC of the ranker with popularity of the training split, and with that of train and val together."""
-    out = None
+    """Mean AUC of the ranker with popularity of the training split, and with that of train and val together; `delta` is the mean of what the leak adds, with its interval over a seeded sample."""
+    b, aucs = Base(s, d), []
     for kind, pop in (("clean", ("train",)), ("leaked", ("train", "val"))):
         auc = metrics.impression_auc(lambdamart.score(_feature_table(s, d, "val", pop), _ranker(s, d, pop), ["impression_id", "pos", "label"]), ["impression_id"])
-        one = auc.agg(F.count("auc").alias("n"), F.avg("auc").alias("auc")).withColumn("kind", F.lit(kind))
-        out = one if out is None else out.unionByName(one)
-    return out
+        aucs.append(written(auc.where("auc is not null").withColumn("kind", F.lit(kind))))
+    means = aucs[0].unionByName(aucs[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("auc").alias("auc")).select("kind", "n", "auc", *(F.lit(None).cast("double").alias(c) for c in ("low", "high")))
+    one, two = (a.join(written(_sample(b)).select("impression_id"), "impression_id", "left_semi").withColumn("metric", F.lit("auc")) for a in aucs)
+    delta = bootstrap.paired_grouped_ci(one, two, ["metric"], "impression_id", "auc")
+    return means.unionByName(delta.select(F.lit("delta").alias("kind"), "n", F.col("mean").alias("auc"), "low", "high"))
+
+
+def neural_samples(b: Base, split: str = "train") -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(history, candidates, labels) of at most neural.MAX_TRAIN impressions of a split, in hash order; only as many are collected."""
+    v, h = b.vectors, b.history(split)
+    n = b.imps.where(F.col("split") == split).count()
+    share = F.shiftrightunsigned(F.xxhash64("impression_id", F.lit(5)), 11) < F.lit(min(2**53, round(2**53 * neural.MAX_TRAIN / max(1, n))))
+    listed = h.where(share).select("impression_id", F.posexplode("hist.article_id").alias("h", "article_id")).join(v, "article_id").groupBy("impression_id").agg(F.sort_array(F.collect_list(F.struct("h", "vec"))).alias("hist"))
+    shown = b.cands(split).where(share).join(v, "article_id").groupBy("impression_id").agg(F.sort_array(F.collect_list(F.struct("pos", "vec", "label"))).alias("shown"))
+    rows = listed.join(shown, "impression_id").orderBy(F.xxhash64("impression_id", F.lit(5)), "impression_id").limit(neural.MAX_TRAIN).collect()
+    return [(np.array([x["vec"] for x in r["hist"]]), np.array([x["vec"] for x in r["shown"]]), np.array([x["label"] for x in r["shown"]])) for r in rows]
 
 
 @query
 def nrms_scores(s: SparkSession, d: str) -> DataFrame:
     b = Base(s, d)
-    v, h = b.vectors, b.history("train")
-    listed = h.select("impression_id", F.posexplode("hist.article_id").alias("h", "article_id")).join(v, "article_id").groupBy("impression_id").agg(F.sort_array(F.collect_list(F.struct("h", "vec"))).alias("hist"))
-    shown = b.cands("train").join(v, "article_id").groupBy("impression_id").agg(F.sort_array(F.collect_list(F.struct("pos", "vec", "label"))).alias("shown"))
-    rows = listed.join(shown, "impression_id").orderBy(F.xxhash64("impression_id", F.lit(5)), "impression_id").limit(2000).collect()
-    samples = [(np.array([x["vec"] for x in r["hist"]]), np.array([x["vec"] for x in r["shown"]]), np.array([x["label"] for x in r["shown"]])) for r in rows]
-    w, _ = neural.train(samples, DIMS)
-    return neural.score(b.cands(), b.history(), v, w).select("impression_id", "pos", "label", "score")
+    w, _ = neural.train(neural_samples(b), DIMS)
+    return neural.score(b.cands(), b.history(), b.vectors, w).select("impression_id", "pos", "label", "score")
 
 
 # --- the second definitions -------------------------------------------------------------------

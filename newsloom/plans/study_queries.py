@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,20 +10,15 @@ from pyspark.sql import functions as F
 from newsloom.functions.stem import stemmed
 from newsloom.functions.text import article_text, plain_words
 from newsloom.operators import bm25, bootstrap, catalogue, features, lambdamart, metrics, profile, retrieval, sampling, splits, variants
-from newsloom.plans.reference_queries import DIMS, Base, _given
+from newsloom.operators.history import recent_history
+from newsloom.plans.reference_queries import DIMS, QUERIES, SAMPLE, Base, _feature_table, _given, _ranker, query  # noqa: F401
 from newsloom.plans.reference_sql import CTES, _metrics, sql
 from newsloom.session import table, written
 from newsloom.sources import mind
 from newsloom.sources.sinks import in_input_order, rank_lines
 
-#: How many eligible impressions retrieval is judged on, and the depths of recall.
-SAMPLE, KS = 5000, [50, 100, 200]
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+#: The depths of recall.
+KS = [50, 100, 200]
 
 
 # --- recall of the clicked articles -----------------------------------------------------------
@@ -116,8 +110,6 @@ def harness_summary(s: SparkSession, d: str) -> DataFrame:
 
 def _test_scores(s: SparkSession, d: str, alpha: float) -> DataFrame:
     """All methods' scores of the val candidates: BM25, vectors, their hybrid and the ranker."""
-    from newsloom.plans.reference_queries import _feature_table, _ranker
-
     f = written(_feature_table(s, d))
     ranker = lambdamart.score(f, _ranker(s, d), ["impression_id", "pos"]).withColumnRenamed("score", "ranker")
     both = f.select("impression_id", "pos", "article_id", "label", "bm25_score", "embedding_score", F.round(retrieval.hybrid(F.col("bm25_score"), F.col("embedding_score"), alpha), 9).alias("hybrid"))
@@ -183,9 +175,6 @@ def embedding_lines(s: SparkSession, d: str, start: int = 0, stop: int | None =
 
 def ranker_lines(s: SparkSession, d: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """Ranks by the learned ranker; candidates without features (no history) score 0 and keep their order."""
-    from newsloom.operators.history import recent_history
-    from newsloom.plans.reference_queries import _ranker
-
     b = Base(s, d)
     rows = written(test_rows(s, d, start, stop))
     imps = rows.select(F.col("seq").cast("string").alias("impression_id"), "user_id", F.col("timestamp").alias("ts"), F.array().cast("array<string>").alias("clicked"), "session_id")
@@ -260,9 +249,8 @@ def bm25_stemmed_scores(s: SparkSession, d: str) -> DataFrame:
         words = plain_words(text, [])
         return F.when(F.col("dataset") == "ebnerd", stemmed(words, "da")).otherwise(stemmed(words, "en"))
 
-    i = bm25.build(b.articles, variants.IDF_FLOOR, stems(article_text(F.col("title"), F.col("abstract"))))
     counts = variants.title_terms(_given(b), b.articles, words=stems(F.col("title")))
-    return variants.bm25_scores(b.cands(), counts, i).select("impression_id", "pos", "article_id", F.round("bm25_score", 6).alias("score"))
+    return variants.bm25_scores(b.cands(), counts, b.articles, stems(article_text(F.col("title"), F.col("abstract")))).select("impression_id", "pos", "article_id", F.round("bm25_score", 6).alias("score"))
 
 
 @query
@@ -389,6 +377,8 @@ SQL = {
     "submission_embeddings": sql(_LINES.format("tscored", "")),
     "submission_range": sql(_LINES.format("tscored", "WHERE seq >= 100 AND seq < 300 ")),
     "extended_vectors": sql("SELECT article_id, article_id NOT IN (SELECT article_id FROM pop) AS added, round(vec[1], 6) AS first FROM vecs"),
+    "plain_word_counts": r"""SELECT doc_id, CAST(len(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '<[^>]*>', ' ', 'g'), '&#?\w+;', ' ', 'g'), '[^\p{L}]+', ' ', 'g')), ' '),
+      lambda w: len(w) > 1 AND w NOT IN ('the', 'and', 'of', 'og', 'i', 'der', 'die', 'das'))) AS INT) AS n_words FROM documents""",
     "mind_rejects": r"""SELECT table_name, split, reason, count(*) AS n FROM (
       SELECT 'news_lines' AS table_name, split, CASE WHEN line IS NULL OR len(string_split(line, chr(9))) <> 8 THEN 'columns' END AS reason FROM news_lines
       UNION ALL SELECT 'behavior_lines', split, CASE WHEN line IS NULL OR len(f) <> 5 THEN 'columns' WHEN NOT regexp_full_match(f[3], '[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2} (AM|PM)') OR try_strptime(f[3], '%m/%d/%Y %I:%M:%S %p') IS NULL THEN 'time' END

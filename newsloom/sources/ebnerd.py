@@ -59,3 +59,10 @@ def clean_ebnerd(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     if history is not None:
         out["user_history"] = history.dropDuplicates(["user_id", "article_id", "click_timestamp"])
     return out
+
+
+def read_document_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """`article_id`, `vec` of a parquet file of document vectors: the first column is the id, the next the vector, whatever its name."""
+    raw = spark.read.parquet(path)
+    key, vector = raw.columns[:2]
+    return raw.select(F.col(key).cast("string").alias("article_id"), F.col(vector).cast("array<double>").alias("vec")).where("vec is not null")

@@ -198,9 +198,9 @@ def test_splits(spark):
     assert {k: v.count() for k, v in s.items()} == {"train": 6, "val": 2, "test": 2}
     assert {k: v.count() for k, v in splits.split_by_days(df, "ts", 2, 1).items()} == {"train": 7, "val": 2, "test": 1}
     splits.verify_split_integrity([("train", s["train"]), ("val", s["val"]), ("none", df.where("false"))], "id", "ts")
-    with pytest.raises(AssertionError, match="appear in both"):
+    with pytest.raises(AssertionError, match="share [0-9]+ ids"):
         splits.verify_split_integrity([("train", df), ("val", s["val"])], "id", "ts")
-    with pytest.raises(AssertionError, match="temporal split violated"):
+    with pytest.raises(AssertionError, match="begins at .* before"):
         splits.verify_split_integrity([("train", s["test"]), ("val", s["train"])], "id", "ts")
 
 
@@ -226,24 +226,39 @@ def test_profiles(spark):
 
 
 def test_clean_mind(spark, tmp_path):
-    for stem, beh in (("MINDsmall_train", ["1\tU1\t11/20/2019 9:00:00 AM\tN1 N2\tN3-1 N4-0", "2\tU1\t11/20/2019 12:30:00 PM\tN1 N2 N5\tN3-0", "3\tU2\t11/21/2019 1:00:00 PM\t\tN4-1"]), ("MINDsmall_dev", ["1\tU1\t11/22/2019 9:00:00 AM\tN1\tN3-0 N4-1"])):
-        at = tmp_path / stem / stem
+    lines = {
+        "MINDsmall_train": ["70\tU8\t2/3/2021 7:15:09 AM\tN90 N41\tN66-1 N12-0 N66-0", "71\tU8\t02/03/2021 12:00:01 AM\tN90 N41 N7\tN66-0", "72\tU9\t2/4/2021 11:59:59 PM\t\tN12-1 N66-1"],
+        "MINDsmall_dev": ["70\tU8\t2/5/2021 8:00:00 AM\tN3\tN66-0 N12-1"],
+    }
+    for depth, (archive, rows) in enumerate(lines.items()):
+        at = tmp_path.joinpath(archive, *["deeper"] * (2 * depth))
         at.mkdir(parents=True)
-        (at / "behaviors.tsv").write_text("\n".join(beh) + "\n")
-        (at / "news.tsv").write_text(f'N1\tc\ts\tsays "hi {stem}\ta\tu\t[]\t\n')
+        (at / "behaviors.tsv").write_text("".join(f"{x}\n" for x in rows))
+        (at / "news.tsv").write_text(f'N90\tsport\trowing\tA 5" pipe in {archive}\tabout pipes\tlink\t\t[]\n')
     t = mind.clean_mind(spark, str(tmp_path), "small")
-    a = t["articles"].collect()
-    assert [(r["article_id"], r["title"], r["entities"], r["published_time"]) for r in a] == [("N1", 'says "hi MINDsmall_train', "[]|", None)]
-    b = {r["impression_id"]: r for r in t["behaviors_train"].collect()}
-    assert b["mind_train_1"]["candidate_article_ids"] == ["N3", "N4"] and b["mind_train_1"]["clicked_article_ids"] == ["N3"] and b["mind_train_2"]["timestamp"] == dt.datetime(2019, 11, 20, 12, 30) and b["mind_train_2"]["clicked_article_ids"] == []
-    h = {(r["user_id"], r["article_id"]): r["click_timestamp"] for r in t["user_history"].collect()}
-    anchor = dt.datetime(2019, 11, 20, 9)
-    assert h == {("U1", x): anchor - dt.timedelta(seconds=s) for x, s in (("N5", 1), ("N2", 2), ("N1", 3))}
+    assert [(r["article_id"], r["title"], r["entities"], r["published_time"]) for r in t["articles"].collect()] == [("N90", 'A 5" pipe in MINDsmall_train', "|[]", None)]
+    b = {r["impression_id"]: (r["timestamp"], r["candidate_article_ids"], r["clicked_article_ids"]) for r in t["behaviors_train"].collect()}
+    assert b == {
+        "mind_train_70": (dt.datetime(2021, 2, 3, 7, 15, 9), ["N66", "N12", "N66"], ["N66"]),
+        "mind_train_71": (dt.datetime(2021, 2, 3, 0, 0, 1), ["N66"], []),
+        "mind_train_72": (dt.datetime(2021, 2, 4, 23, 59, 59), ["N12", "N66"], ["N12", "N66"]),
+    }
+    assert [r["impression_id"] for r in t["behaviors_val"].collect()] == ["mind_val_70"]
+    # U8's longest history is that of train; its times come before the first impression of train.
+    h = {(r["user_id"], r["article_id"]): r["click_timestamp"].second for r in t["user_history"].collect()}
+    assert h == {("U8", "N7"): 0, ("U8", "N41"): 59, ("U8", "N90"): 58, ("U8", "N3"): 59}
     with pytest.raises(FileNotFoundError):
         mind.clean_mind(spark, str(tmp_path / "none"), "small")
-    raw = mind.read_tsv(spark, str(tmp_path / "MINDsmall_train/MINDsmall_train/behaviors.tsv"), mind.BEHAVIOR).withColumn("time", mind.parse_time(F.col("time")))
-    blind = mind.clean_behaviors(raw, "test").first()
-    assert blind["clicked_article_ids"] is None
+    raw = mind.read_tsv(spark, str(tmp_path / "MINDsmall_train/behaviors.tsv"), mind.BEHAVIOR).withColumn("time", mind.parse_time(F.col("time")))
+    assert {tuple(r["candidate_article_ids"]) for r in mind.clean_behaviors(raw, "test").where("clicked_article_ids is null").collect()} == {("N66-1", "N12-0", "N66-0"), ("N66-0",), ("N12-1", "N66-1")}
+
+
+def test_vector_files(spark, tmp_path):
+    (tmp_path / "e.vec").write_text("Q7\t0.5\t-1.25\t2\nQ8\t0\t1\t-3e-1\n")
+    assert {r["id"]: [round(x, 4) for x in r["vec"]] for r in mind.read_vectors(spark, str(tmp_path / "e.vec"), 3).collect()} == {"Q7": [0.5, -1.25, 2.0], "Q8": [0.0, 1.0, -0.3]}
+    docs = spark.createDataFrame([(7, [1.0, 2.0]), (8, None)], "article_id int, some_model array<float>")
+    docs.write.parquet(str(tmp_path / "docs.parquet"))
+    assert [(r["article_id"], r["vec"]) for r in ebnerd.read_document_vectors(spark, str(tmp_path / "docs.parquet")).collect()] == [("7", [1.0, 2.0])]
 
 
 def test_clean_ebnerd(spark, tmp_path):
@@ -284,24 +299,32 @@ def test_rank_lists_keep_order_and_repeated_ids(spark, tmp_path):
 
 
 def test_download_is_done_once(tmp_path):
-    for n in "ab":
-        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
-            z.writestr(f"from_{n}.txt", n)
-    folder = tmp_path / "raw"
-    for n in "ab":
-        download.unpack(tmp_path / f"{n}.zip", folder)
-    assert {p.name for p in folder.glob("from_*")} == {"from_a.txt", "from_b.txt"}
-    (folder / "from_a.txt").unlink()
-    download.unpack(tmp_path / "a.zip", folder)
-    assert not (folder / "from_a.txt").exists()
-    url = (tmp_path / "a.zip").as_uri()
-    got = download.download({"mind": {"small": [url]}}, "mind", "demo", tmp_path / "data")
-    assert (got / "a" / "from_a.txt").exists()
-    calls = []
-    download.fetch_gated("r/x", "f.zip", tmp_path / "gated", run=lambda *a, **k: calls.append(a))
-    assert calls
-    with pytest.raises(ValueError):
-        download.download({}, "other", "small", tmp_path)
+    for name, content in (("winter", "snow"), ("summer", "sun")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:
+            z.writestr("weather.csv" if name == "winter" else "heat/index.csv", content)
+    shared = tmp_path / "unpacked"
+    for name in ("winter", "summer", "winter"):
+        download.unpack(tmp_path / f"{name}.zip", shared)
+    assert (shared / "weather.csv").read_text() == "snow" and (shared / "heat/index.csv").read_text() == "sun"
+    (shared / "weather.csv").write_text("changed")
+    download.unpack(tmp_path / "winter.zip", shared)
+    assert (shared / "weather.csv").read_text() == "changed"
+    download.unpack(tmp_path / "winter.zip", shared, force=True)
+    assert (shared / "weather.csv").read_text() == "snow"
+    got = download.download({"mind": {"small": [(tmp_path / "summer.zip").as_uri()]}}, "mind", "demo", tmp_path / "data")
+    assert (got / "summer/heat/index.csv").read_text() == "sun"
+    asked = []
+    for _ in range(2):
+        at = download.fetch_gated("some/set", "part.zip", tmp_path / "gated", run=lambda *a, **k: (asked.append(a), at_once(tmp_path / "gated/part.zip")))
+    assert len(asked) == 1 and at.read_text() == "here"
+    for config in ({}, {"other": {}}):
+        with pytest.raises(ValueError):
+            download.download(config, "other", "small", tmp_path)
+
+
+def at_once(path):
+    path.parent.mkdir(exist_ok=True)
+    path.write_text("here")
 
 
 def test_catalogue(spark):
