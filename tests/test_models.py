@@ -70,6 +70,35 @@ def test_neural_gradient_is_right():
             assert gf[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
+@pytest.mark.parametrize(("improved", "positions"), [(False, True), (True, False), (True, True)])
+def test_gradients_of_every_form(improved, positions):
+    rng = np.random.default_rng(5)
+    w = neural.initial(5, 8, 2, seed=4, improved=improved, positions=positions)
+    hist, cands = rng.normal(size=(4, 5)), rng.normal(size=(3, 5))
+    _, grads = neural.loss_and_gradient(w, hist, cands, 2)
+    assert len(grads) == (13 if improved else 9)
+    for x, g in zip(w.arrays(), grads, strict=True):
+        for i in rng.integers(0, x.size, 4):
+            old, at = x.reshape(-1)[i], x.reshape(-1)
+            at[i] = old + 1e-6
+            up, _ = neural.loss_and_gradient(w, hist, cands, 2)
+            at[i] = old - 1e-6
+            down, _ = neural.loss_and_gradient(w, hist, cands, 2)
+            at[i] = old
+            assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
+
+
+def test_rate_and_early_stop():
+    rates = [neural.rate_at(k, 100, 1.0, 0.1) for k in range(1, 101)]
+    assert max(rates) == rates[9] == 1.0 and rates[4] == 0.5 and rates[-1] < 1e-3 and rates[10:] == sorted(rates[10:], reverse=True)
+    rng = np.random.default_rng(6)
+    noise = [(rng.normal(size=(3, 4)), rng.normal(size=(5, 4)), np.array([1, 0, 0, 0, 0])) for _ in range(30)]
+    w, losses = neural.train(noise[:20], 4, 8, 2, epochs=40, rate=1e-2, held_out=noise[20:], patience=2, warmup=0.1, decay=0.01)
+    assert len(losses) < 40
+    assert neural.sample_auc(w, noise[20:]) >= neural.sample_auc(neural.train(noise[:20], 4, 8, 2, epochs=len(losses), rate=1e-2, warmup=0.1, decay=0.01)[0], noise[20:]) - 0.2
+    assert np.allclose(neural.places(3, 4)[0], [0, 1, 0, 1])
+
+
 def test_neural_learns_and_scores(spark):
     rng = np.random.default_rng(4)
     vec = {f"A{i}": rng.normal(size=6) + (3 if i % 2 else -3) for i in range(20)}
