@@ -10,7 +10,7 @@ import __spark_entry__ as entry  # noqa: E402
 from compare import rows, views  # noqa: E402
 
 DATA = Path("/root/testdata/sf0.001")
-SLOW = {"ltr_scores", "ltr_importance", "ltr_leaked_popularity"}  # models on the driver: see test_models
+
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data here")
 
 
@@ -19,7 +19,7 @@ def duck():
     return views(str(DATA))
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, str(DATA))
     got = rows(df.columns, df.collect())
