@@ -149,7 +149,7 @@ def diversity10(s: SparkSession, d: str) -> DataFrame:
 # --- rank lists in input order ----------------------------------------------------------------
 
 
-def test_rows(s: SparkSession, d: str, start: int = 0, stop: int | None = None) -> DataFrame:
+def unlabelled_rows(s: SparkSession, d: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """The unlabelled rows as delivered, with `seq`, their place among them; only places from `start` to before `stop`. Ranges are cut here, before anything is scored."""
     rows = in_input_order(table(s, d, "behaviors")).where("clicked_article_ids is null")
     numbered = sampling.dense_numbers(rows.select("raw_impression_id", "user_id", "timestamp", "session_id", "candidate_article_ids", "_file", "_row"), "_file", "_row").withColumnRenamed("row_no", "seq")
@@ -165,7 +165,7 @@ def _shown(rows: DataFrame) -> DataFrame:
 def embedding_lines(s: SparkSession, d: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """Ranks by the mean vector of each user's latest given history; users and candidates without a vector score 0."""
     b = Base(s, d)
-    rows = written(test_rows(s, d, start, stop))
+    rows = written(unlabelled_rows(s, d, start, stop))
     h = b.t("user_history").where("user_id is not null").groupBy("user_id").agg(F.max_by("history", F.struct("as_of", "recorded_at", "history_id")).alias("items"))
     given = rows.select(F.col("seq").cast("string").alias("impression_id"), "user_id").join(h, "user_id").select("impression_id", F.transform("items", lambda a: F.struct(a.alias("article_id"))).alias("hist"))
     shown = _shown(rows)
@@ -176,7 +176,7 @@ def embedding_lines(s: SparkSession, d: str, start: int = 0, stop: int | None =
 def ranker_lines(s: SparkSession, d: str, start: int = 0, stop: int | None = None) -> DataFrame:
     """Ranks by the learned ranker; candidates without features (no history) score 0 and keep their order."""
     b = Base(s, d)
-    rows = written(test_rows(s, d, start, stop))
+    rows = written(unlabelled_rows(s, d, start, stop))
     imps = rows.select(F.col("seq").cast("string").alias("impression_id"), "user_id", F.col("timestamp").alias("ts"), F.array().cast("array<string>").alias("clicked"), "session_id")
     earlier = b.imps.select("impression_id", "user_id", "ts", "clicked", "session_id")
     h = written(recent_history(imps, catalogue.clicks(b.t("click_log"))))
@@ -189,7 +189,7 @@ def ranker_lines(s: SparkSession, d: str, start: int = 0, stop: int | None = Non
 
 
 def popularity_lines(s: SparkSession, d: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    shown = _shown(test_rows(s, d, start, stop))
+    shown = _shown(unlabelled_rows(s, d, start, stop))
     return rank_lines(shown.join(Base(s, d).popularity(), "article_id", "left").withColumn("score", F.coalesce("clicks", F.lit(0)).cast("double")))
 
 
