@@ -1,4 +1,4 @@
-"""Sizes of texts in tokens of a public byte-level BPE tokenizer (50,256 ranks; `byte_bpe_50k.tiktoken`)."""
+"""Sizes of texts in tokens of the public GPT-2 byte-level BPE vocabulary (50,256 ranks; here the file `byte_bpe_50k.tiktoken`)."""
 
 from __future__ import annotations
 
