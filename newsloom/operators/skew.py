@@ -11,6 +11,8 @@ from newsloom.session import shuffle_parts
 
 #: Keys with at least this share of the rows are hot, or with half an average partition where there are more than 500 partitions.
 HOT_SHARE = 0.001
+#: Salts of a key that holds all rows, as a multiple of the number of partitions.
+SPREAD = 8
 
 
 def hot_keys(df: DataFrame, key: Column, share: float | None = None) -> list[tuple]:
@@ -26,13 +28,13 @@ def hot_keys(df: DataFrame, key: Column, share: float | None = None) -> list[tup
 def with_salts(df: DataFrame, key: str, hot: list[tuple], name: str) -> DataFrame:
     """`df` with an int column `name`: over how many salts a row's key is to be spread, 1 for a cold key, by its share for a hot one.
 
-    All hot keys together get at most twice as many salts as there are partitions, and one more each.
+    All hot keys together get at most SPREAD times as many salts as there are partitions, and one more each: with fewer, chance would put too many of them into one task.
     """
     if not hot:
         return df.withColumn(name, F.lit(1))
     parts = shuffle_parts(df.sparkSession)
     schema = df.select(F.col(key)).schema.add(name, "integer")
-    keys = df.sparkSession.createDataFrame([(k, ceil(2 * parts * share) + 1) for k, share in hot], schema)
+    keys = df.sparkSession.createDataFrame([(k, ceil(SPREAD * parts * share) + 1) for k, share in hot], schema)
     return df.join(F.broadcast(keys), key, "left").withColumn(name, F.coalesce(name, F.lit(1)))  # a list of at most 1 / share keys
 
 
