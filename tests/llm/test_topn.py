@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import topn
 
@@ -30,3 +31,18 @@ def test_heavy_groups_are_counted_exactly(spark, monkeypatch):
     assert topn.heavy_groups(df, "g").count() == 0
     monkeypatch.setattr(topn, "MIN_HEAVY", 20)
     assert {r["group"] for r in topn.heavy_groups(df, "g").collect()} == {"hot", "mid"}
+
+
+def test_a_long_list_of_heavy_groups_makes_no_hot_task(spark, monkeypatch):
+    monkeypatch.setattr(topn, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(topn, "MIN_HEAVY", 20)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(before, ("-1", "false", "16"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20_000).select(F.when(F.col("id") % 10 < 4, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 500)).alias("group"), F.col("id").cast("string").alias("item"), (F.col("id") * 1.0).alias("score"))
+        sizes = [r["count"] for r in topn._marked(df, topn.heavy_groups(df, "group")).groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 20_000 and max(sizes) <= 2 * 20_000 / 16, sorted(sizes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
