@@ -12,6 +12,8 @@ empty table gives no rows; entities without any typed event have a row of zeros
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def feature_table(cells: DataFrame, kinds: list[str], entities: DataFrame | None
     def cell(kind: Column, n: Column, last_at: Column, total: Column) -> Column:
         return F.struct(kind.alias("kind"), n.alias("n"), last_at.alias("last_at"), total.alias("total"))
 
-    none = [cell(F.lit(k), F.lit(0).cast("long"), F.lit(None).cast(at), F.lit(0.0)) for k in kinds]
-    empty = F.array(*none) if kinds else F.array().cast(f"array<struct<kind:string,n:bigint,last_at:{at.simpleString()},total:double>>")
+    # One literal, folded before the query runs; thousands of columns would keep the driver busy.
+    empty = F.from_json(F.lit(json.dumps([{"kind": k, "n": 0, "total": 0.0} for k in kinds])), f"array<struct<kind:string,n:bigint,last_at:{at.simpleString()},total:double>>")
     codes = spark.createDataFrame([(k, i) for i, k in enumerate(kinds)], "kind string, code int")  # at most MAX_TYPES rows
     filled = cells.join(F.broadcast(codes), "kind").groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("code", cell(*(F.col(c) for c in ("kind", "n", "last_at", "total"))).alias("x")))).alias("f"))
     if entities is not None:
