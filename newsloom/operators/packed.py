@@ -24,6 +24,7 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +44,9 @@ def tokens(df: DataFrame, fields: list[str], row_id: str) -> DataFrame:
     """`row_id`, `field_name`, `place` (of the token), `token` (trimmed, without quotes), `quoted`."""
     stacked = df.select(F.col(row_id).alias("row_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("t")) for f in fields))).alias("x"))
     found = F.regexp_extract_all("x.t", F.lit(_TOKEN), F.lit(1))
-    piece = F.transform(found, lambda t: F.struct(F.regexp_replace(F.regexp_replace(t, """(?s)^(["'])(.*)\\1$""", "$2"), f"^{_SPACE}|{_SPACE}$", "").alias("token"), t.rlike("^[\"']").alias("quoted")))
+    is_quoted = lambda t: t.startswith('"') | t.startswith("'")
+    inside = lambda t: F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), f"^{_SPACE}|{_SPACE}$", "")
+    piece = F.transform(found, lambda t: F.struct(F.when(is_quoted(t), inside(t)).otherwise(t).alias("token"), is_quoted(t).alias("quoted")))
     return stacked.select("row_id", "x.field_name", F.posexplode(F.filter(piece, lambda p: p["token"] != "")).alias("place", "p")).select("row_id", "field_name", "place", "p.*")
 
 
@@ -119,47 +122,60 @@ def viterbi(edges: list[tuple[int, int, str, float]], p_sep: float) -> list[str]
 
 
 def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row an edge that has a value: `k` is its number in `edges_of(m)`."""
     for b in batches:
-        rows = [(sid, c, s.count("-") + 1, i, j, v) for sid, s, c in zip(b["sid"], b["stretch"], b["c"], strict=True) for i, j, v in lattice(s)]
-        yield pd.DataFrame(rows, columns=["sid", "c", "m", "i", "j", "value"])
-
-
-def _by_form(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Sequence[tuple[int, int]], np.ndarray, np.ndarray]]:
-    """Stretches of the same number of atoms together: rows, edges, values (hashes) and log probabilities; edges without a value have none."""
-    for m, rows in b.groupby("m"):
-        ij = edges_of(int(m))
-        at = {e: k for k, e in enumerate(ij)}
-        value, logp = np.zeros((len(rows), len(ij)), dtype=np.int64), np.full((len(rows), len(ij)), -np.inf)
-        lens = rows["edges"].map(len).to_numpy()
-        flat = [(at[e["i"], e["j"]], e["value"], e["p"]) for es in rows["edges"] for e in es]
-        k, v, p = (np.array(x) for x in zip(*flat, strict=True))
-        r = np.repeat(np.arange(len(rows)), lens)
-        value[r, k], logp[r, k] = v, np.log(np.maximum(p, 1e-300))
-        yield rows, ij, value, logp
+        rows = []
+        for sid, s, c in zip(b["sid"], b["stretch"], b["c"], strict=True):
+            atoms = s.split("-")
+            m = len(atoms)
+            rows += [(sid, c, m, k, "-".join(atoms[i:j])) for k, (i, j) in enumerate(edges_of(m)) if j - i > 1 or atoms[i]]
+        yield pd.DataFrame(rows, columns=["sid", "c", "m", "k", "value"])
+
+
+def _by_form(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+    """Stretches of the same number of atoms together: their rows in the batch, the number, values (hashes) and log probabilities by edge; edges without a value have none."""
+    lens = b.column("k").value_lengths().to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(lens)), lens)
+    k, v, p = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("k", "value", "p"))
+    forms = b.column("m").to_numpy(zero_copy_only=False)
+    place = np.zeros(len(lens), dtype=np.int64)
+    for m in np.unique(forms):
+        rows = np.flatnonzero(forms == m)
+        place[rows] = np.arange(len(rows))
+        here = forms[of] == m
+        shape = (len(rows), len(edges_of(int(m))))
+        value, logp = np.zeros(shape, dtype=np.int64), np.full(shape, -np.inf)
+        value[place[of[here]], k[here]], logp[place[of[here]], k[here]] = v[here], np.log(np.maximum(p[here], 1e-300))
+        yield rows, int(m), value, logp
 
 
 def _expect(p_sep: float):
-    """Expected uses of each value (one row a value and batch), and of separating joiners (a row with a null value)."""
+    """Expected uses of each value, and of separating joiners: one row a value and batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            for rows, ij, value, logp in _by_form(b):
-                post = posteriors(ij, logp, p_sep) * rows["c"].to_numpy(float)[:, None]
-                used = np.isfinite(logp)
-                starts = np.array([i > 0 for i, _ in ij])
-                parts.append(pd.DataFrame({"value": value[used], "n": post[used], "seps": np.broadcast_to(starts, post.shape)[used] * post[used]}))
-            if parts:
-                yield pd.concat(parts).groupby("value", as_index=False).sum()
+            c, found = b.column("c").to_numpy(zero_copy_only=False), []
+            for rows, m, value, logp in _by_form(b):
+                ij, used = edges_of(m), np.isfinite(logp)
+                post = posteriors(ij, logp, p_sep) * c[rows][:, None].astype(float)
+                starts = np.broadcast_to(np.array([i > 0 for i, _ in ij]), post.shape)
+                found.append((value[used], post[used], (starts * post)[used]))
+            if found:
+                value, n, seps = (np.concatenate(x) for x in zip(*found, strict=True))
+                names, at = np.unique(value, return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, n)), pa.array(np.bincount(at, seps))], names=["value", "n", "seps"])
 
     return run
 
 
 def _best(p_sep: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows, ij, _, logp in _by_form(b):
-                yield pd.DataFrame({"sid": rows["sid"], "ends": [[ij[k][1] for k in path] for path in best_paths(ij, logp, p_sep)]})
+            sid = b.column("sid").to_numpy(zero_copy_only=False)
+            for rows, m, _, logp in _by_form(b):
+                ij = edges_of(m)
+                ends = [[ij[k][1] for k in path] for path in best_paths(ij, logp, p_sep)]
+                yield pa.RecordBatch.from_arrays([pa.array(sid[rows]), pa.array(ends, pa.list_(pa.int32()))], names=["sid", "ends"])
 
     return run
 
@@ -170,7 +186,7 @@ def learn_splits(found: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float =
     open_ = counted.where(F.col("stretch").contains("-"))
     plain = counted.where(~F.col("stretch").contains("-")).select(F.xxhash64("stretch").alias("value"), F.col("c").cast("double").alias("n"))
     # Values are told apart by 64 bits of hash: all a collision could do is to add two frequencies.
-    edges = written(open_.select("sid", "stretch", "c").mapInPandas(_edges, "sid long, c long, m int, i int, j int, value string").withColumn("value", F.xxhash64("value")))
+    edges = written(open_.select("sid", "stretch", "c").mapInPandas(_edges, "sid long, c long, m int, k int, value string").withColumn("value", F.xxhash64("value")))
     joiners = open_.agg(F.sum(F.col("c") * (F.length("stretch") - F.length(F.regexp_replace("stretch", "-", "")))).cast("double")).first()[0] or 0.0
     used = edges.agg(F.sum("c").cast("double")).first()[0] or 0.0
     plain_total = plain.agg(F.sum("n")).first()[0] or 0.0
@@ -179,16 +195,16 @@ def learn_splits(found: DataFrame, rounds: int = MAX_ROUNDS, tolerance: float =
 
     def scored() -> DataFrame:
         p = step.select("value", "n").unionByName(plain).groupBy("value").agg((F.sum("n") / max(used + plain_total, 1.0)).alias("p"))
-        return salted_lookup(edges, p, "value", hot=hot).groupBy("sid", "c", "m").agg(F.collect_list(F.struct("i", "j", "value", "p")).alias("edges"))  # at most MAX_EDGE * m + 1
+        return salted_lookup(edges, p, "value", hot=hot).groupBy("sid", "c", "m").agg(F.collect_list(F.struct("k", "value", "p")).alias("e")).select("sid", "c", "m", "e.k", "e.value", "e.p")  # at most MAX_EDGE * m + 1
 
     for _ in range(rounds if joiners else 0):
         seen = Observation()
-        step = written(scored().mapInPandas(_expect(p_sep), "value long, n double, seps double").observe(seen, F.sum("n").alias("n"), F.sum("seps").alias("seps")))
+        step = written(scored().mapInArrow(_expect(p_sep), "value long, n double, seps double").observe(seen, F.sum("n").alias("n"), F.sum("seps").alias("seps")))
         used, seps = seen.get["n"] or 0.0, seen.get["seps"] or 0.0
         before, p_sep = p_sep, min(max(seps / joiners, 1e-9), 1 - 1e-9)
         if abs(p_sep - before) < tolerance:
             break
-    paths = scored().mapInPandas(_best(p_sep), "sid long, ends array<int>")
+    paths = scored().mapInArrow(_best(p_sep), "sid long, ends array<int>")
     atoms = F.split("stretch", "-", -1)
     starts = F.concat(F.array(F.lit(0)), F.slice("ends", 1, F.size("ends") - 1))
     piece = F.zip_with(starts, "ends", lambda i, j: F.array_join(F.slice(atoms, i + 1, j - i), "-"))
