@@ -36,13 +36,14 @@ def prefix_sums(df: DataFrame, key: str, order: list[str], value: str, partition
         .withColumn("_rid", F.monotonically_increasing_id())
     )
     # The range bounds come from a sample, so the partitions are frozen before they are counted.
-    frozen = written(ranged).withColumn("_part", F.shiftright("_rid", 33))
+    frozen = written(ranged).withColumn("_part", F.shiftright("_rid", 33).cast("int"))
     counts = frozen.groupBy(key, "_part").agg(F.sum(value).alias("n"))
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(key, "_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset"))
+    # A key's offset in a range stands before its rows there, so one running sum over the range gives all; the rows of a range stay one task.
+    offsets = counts.select(key, "_part", F.lit(-1).cast("long").alias("_rid"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(value))
+    both = frozen.unionByName(offsets, allowMissingColumns=True).repartitionById(parts, F.col("_part"))
     local = Window.partitionBy(key, "_part").orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
-    summed = frozen.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0))).join(offsets, [key, "_part"])
-    return summed.withColumn("before", F.col("_offset") + F.col("_local")).drop("_offset", "_local")
+    return both.withColumn("before", F.sum(value).over(local)).where("_rid >= 0")
 
 
 def number_rows(df: DataFrame, key: Column, order: Column, sums: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
