@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from newsloom.operators import lambdamart
+from newsloom.operators import bootstrap, lambdamart
 
 
 def test_ranker_uses_every_row_in_several_tasks(spark, monkeypatch):
@@ -30,3 +30,10 @@ def test_the_fit_has_no_row_limit(spark, monkeypatch):
     df = spark.range(600_000).selectExpr("cast(id div 4 as string) as impression_id", "cast(id % 4 = 0 as int) as label", "cast(id % 7 as double) as x")
     lambdamart.train(df, ["x"], trees=1, leaves=2)
     assert seen == [(600_000, 600_000)]
+
+
+def test_an_interval_takes_any_number_of_values(monkeypatch):
+    values = np.arange(300.0)
+    whole = bootstrap.ci(values, 20)
+    monkeypatch.setattr(bootstrap, "MAX_VALUES", 100)
+    assert np.allclose(bootstrap.ci(values, 20), whole)
