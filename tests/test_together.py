@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from newsloom.operators import bootstrap, lambdamart
+from pyspark.sql import functions as F
+
+from newsloom.operators import bootstrap, lambdamart, neural
 
 
 def test_ranker_uses_every_row_in_several_tasks(spark, monkeypatch):
@@ -37,3 +39,42 @@ def test_an_interval_takes_any_number_of_values(monkeypatch):
     whole = bootstrap.ci(values, 20)
     monkeypatch.setattr(bootstrap, "MAX_VALUES", 100)
     assert np.allclose(bootstrap.ci(values, 20), whole)
+
+
+def _clicks(n):
+    rng = np.random.default_rng(8)
+    vec = {f"A{i}": [float(y) for y in rng.normal(size=6) + (2 if i % 2 else -2)] for i in range(20)}
+    rows = []
+    for i in range(n):
+        side = int(rng.integers(2))
+        hist = [f"A{2 * rng.integers(10) + side}" for _ in range(rng.integers(1, 4))]
+        rows.append((f"i{i}", hist, [f"A{2 * rng.integers(10) + side}", *(f"A{2 * rng.integers(10) + 1 - side}" for _ in range(3)), "missing"], [1, 0, 0, 0, 0]))
+    return vec, rows
+
+
+def _frames(spark, n):
+    vec, rows = _clicks(n)
+    return spark.createDataFrame(list(vec.items()), "article_id string, vec array<double>"), spark.createDataFrame(rows, "impression_id string, h array<string>, c array<string>, l array<int>")
+
+
+def test_neural_weights_do_not_depend_on_the_tasks(spark, monkeypatch):
+    vectors, shown = _frames(spark, 400)
+    got = []
+    for per_task in (100, 10**9):
+        monkeypatch.setattr(neural, "PER_TASK", per_task)
+        got.append(neural.fit(shown, vectors, 6, size=8, heads=2, epochs=1, rate=1e-2))
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(got[0].arrays(), got[1].arrays(), strict=True))
+    _, rows = _clicks(400)
+    auc = [np.mean([r["s"][0] > x for x in r["s"][1:4]]) for r in neural.score_lists(shown, vectors, got[0]).collect()]
+    assert len(auc) == len(rows) and np.mean(auc) > 0.9
+
+
+def test_neural_fit_takes_every_impression(spark, monkeypatch):
+    """More than the 20,000 that were taken once; the held-out tenth and the rest are all of them."""
+    vectors, few = _frames(spark, 300)
+    shown = few.crossJoin(spark.range(100).select(F.col("id").alias("k"))).withColumn("impression_id", F.concat_ws("-", "impression_id", "k")).drop("k")
+    monkeypatch.setattr(neural, "PER_TASK", 10**9)
+    monkeypatch.setattr(neural, "learn", lambda x, held, **how: ((len(x.key), len(held.key), len(set(x.key) | set(held.key))), None))
+    assert neural.fit(shown, vectors, 6) == (30_000, 0, 30_000)
+    rest, held, both = neural.fit(shown, vectors, 6, 10)
+    assert rest + held == both == 30_000 and 2_500 < held < 3_500
