@@ -1,10 +1,13 @@
 """Models fitted by several tasks together, beside the fit of one."""
 
+import datetime as dt
+
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import bootstrap, lambdamart, neural
+from newsloom.operators import bootstrap, features, lambdamart, list_features, neural
+from newsloom.operators.history import recent_history
 
 
 def test_ranker_uses_every_row_in_several_tasks(spark, monkeypatch):
@@ -78,3 +81,31 @@ def test_neural_fit_takes_every_impression(spark, monkeypatch):
     assert neural.fit(shown, vectors, 6) == (30_000, 0, 30_000)
     rest, held, both = neural.fit(shown, vectors, 6, 10)
     assert rest + held == both == 30_000 and 2_500 < held < 3_500
+
+
+def test_list_features_equal_the_joined_ones(spark, tmp_path):
+    """The same rows as the joins over single candidates give, without any of them shuffled."""
+    t0 = dt.datetime(2024, 1, 1)
+    at = lambda h: t0 + dt.timedelta(hours=h)
+    articles = spark.createDataFrame([("a", "x", at(0)), ("b", "x", None), ("c", None, at(2)), ("d", "y", at(30))], "article_id string, category string, published_time timestamp_ntz")
+    imps = spark.createDataFrame(
+        [("i1", "u", at(40), ["a", "b", "c", "d", "none", None, "a"], ["a", "none"], "s"), ("i2", "u", at(41), ["d"], ["d"], "s"), ("i3", None, at(42), ["a", "b"], ["a"], None), ("i4", "v", at(43), [], [], "s"), ("i5", "v", at(44), ["gone", "c"], ["c"], None)],
+        "impression_id string, user_id string, ts timestamp_ntz, cands array<string>, clicked array<string>, session_id string",
+    )
+    clicks = spark.createDataFrame([("u", at(1), "a", 3.0), ("u", at(2), "b", None), ("u", at(3), "c", 5.0), ("u", at(9), "none", 1.0), ("v", at(4), "d", None)], "user_id string, ts timestamp_ntz, article_id string, read_time double")
+    h = recent_history(imps, clicks)
+    popular = spark.createDataFrame([("a", 3), ("none", 7)], "article_id string, clicks long")
+    scores = spark.createDataFrame([("i1", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0], None), ("i2", None, [0.5]), ("i3", None, None), ("i4", None, None), ("i5", [0.1, 0.2], [0.3, 0.4])], "impression_id string, bm25 array<double>, emb array<double>")
+    lists = imps.join(scores, "impression_id")
+    cands = lists.select("impression_id", "ts", "clicked", "bm25", "emb", F.posexplode("cands").alias("pos", "article_id")).withColumn("label", F.array_contains("clicked", F.col("article_id")).cast("int"))
+    cands = cands.withColumns({"bm25_score": F.get("bm25", F.col("pos")), "embedding_score": F.get("emb", F.col("pos"))})
+    want = features.feature_table(cands, imps, h, articles, popular)
+    got = list_features.feature_table(lists, imps, h, articles, popular)
+    assert dict(got.dtypes) == dict(want.dtypes)
+    key = lambda r: (r["impression_id"], r["pos"])
+    one, two = (sorted(x.select(*want.columns).collect(), key=key) for x in (want, got))
+    assert len(one) == len(two) == 10
+    for x, y in zip(one, two, strict=True):
+        assert [v if isinstance(v, str | None) else round(v, 9) for v in x] == [v if isinstance(v, str | None) else round(v, 9) for v in y]
+    assert {r["impression_id"] for r in list_features.feature_table(lists, imps, h, articles, popular, mixed=True).collect()} == {"i1", "i5"}
+    assert "posexplode" in want._jdf.queryExecution().optimizedPlan().toString() and "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
