@@ -1,12 +1,13 @@
 """Models fitted by several tasks together, beside the fit of one."""
 
 import datetime as dt
+import pickle
 
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import bootstrap, features, lambdamart, list_features, neural
+from newsloom.operators import bootstrap, features, lambdamart, list_features, neural, together
 from newsloom.operators.history import recent_history
 
 
@@ -109,3 +110,49 @@ def test_list_features_equal_the_joined_ones(spark, tmp_path):
         assert [v if isinstance(v, str | None) else round(v, 9) for v in x] == [v if isinstance(v, str | None) else round(v, 9) for v in y]
     assert {r["impression_id"] for r in list_features.feature_table(lists, imps, h, articles, popular, mixed=True).collect()} == {"i1", "i5"}
     assert "posexplode" in want._jdf.queryExecution().optimizedPlan().toString() and "posexplode" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_arrays_are_added_up_in_parts(spark):
+    """The same sums as those of short ones, 4-byte numbers as such."""
+    shapes = [(n, kind) for n in (3, together.LONG + 3) for kind in (float, np.float32)]
+
+    def fit(batches, t):
+        for _ in batches:
+            pass
+        return pickle.dumps((t.n, [t.sum(((t.me + 1) * np.arange(n) / 7).astype(kind)) for n, kind in shapes]))
+
+    n, got = pickle.loads(together.fit_together(spark.range(400).withColumnRenamed("id", "key"), "key", 400, 100, fit))
+    assert n > 1
+    for x, (size, kind) in zip(got, shapes, strict=True):
+        assert x.dtype == kind and np.allclose(x, n * (n + 1) / 2 * np.arange(size) / 7)
+
+
+def test_neural_gradient_of_a_batch_is_the_sum_of_its_impressions():
+    """Of histories of any length; what they share is encoded once, and the absent items of the shorter ones count for nothing."""
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(9, 6))
+    hists, cands = [[0, 1, 0, 2], [3], [2, 4]], [[5, 1, 6], [7, 8, 3], [0, 2, 5]]
+    sizes = np.array([len(h) for h in hists])
+    x = neural.Samples(vecs, sizes, np.concatenate(hists), np.full(3, 3), np.concatenate(cands), np.tile([1, 0, 0], 3))
+    for improved, positions in ((False, True), (True, False)):
+        w = neural.initial(6, 8, 2, improved=improved, positions=positions)
+        loss, grads = neural.batch_gradient(w, x.batch(np.arange(3), 0, 2, 1))
+        each = [neural.loss_and_gradient(w, vecs[h], vecs[c], 0) for h, c in zip(hists, cands, strict=True)]
+        assert np.isclose(loss, sum(a for a, _ in each))
+        assert all(np.allclose(g, sum(parts)) for g, parts in zip(grads, zip(*(b for _, b in each), strict=True), strict=True))
+        scores = np.concatenate([neural.encode_news(w, vecs[c]) @ neural.encode_user(w, neural.encode_news(w, vecs[h])) for h, c in zip(hists, cands, strict=True)])
+        assert np.allclose(x.scores(w, np.arange(3)), scores)
+
+
+def test_neural_fit_sends_the_driver_one_row_and_keeps_equal_vectors_once(spark, monkeypatch):
+    vectors, shown = _frames(spark, 300)
+    same = vectors.union(vectors.select(F.concat(F.lit("B"), "article_id"), "vec"))
+    shown = shown.withColumn("h", F.concat("h", F.transform("h", lambda x: F.concat(F.lit("B"), x))))
+    frame, rows = type(shown), []
+    real = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: rows.append(len(got := real(df))) or got)
+    monkeypatch.setattr(neural, "PER_TASK", 10**9)
+    monkeypatch.setattr(neural, "learn", lambda x, held, **how: ((x.vecs.shape, len(x.key), len(held.key)), None))
+    (n, dims), learned, held = neural.fit(shown, same, 6, 10)
+    assert (n, dims, learned + held) == (20, 6, 300)
+    assert max(rows) == 1
