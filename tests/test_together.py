@@ -156,3 +156,25 @@ def test_neural_fit_sends_the_driver_one_row_and_keeps_equal_vectors_once(spark,
     (n, dims), learned, held = neural.fit(shown, same, 6, 10)
     assert (n, dims, learned + held) == (20, 6, 300)
     assert max(rows) == 1
+
+
+def test_neural_fit_learns_from_those_that_tell_when_to_stop_too(spark, monkeypatch):
+    """One epoch of one is the best, so the weights are those of a fit on all impressions; the held-out tenth was left out of them once."""
+    vectors, shown = _frames(spark, 400)
+    for per_task in (100, 10**9):
+        monkeypatch.setattr(neural, "PER_TASK", per_task)
+        held, whole = (neural.fit(shown, vectors, 6, n, size=8, heads=2, epochs=1, rate=1e-2) for n in (10, None))
+        assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(held.arrays(), whole.arrays(), strict=True))
+
+
+def test_neural_weights_are_learned_of_all_samples_for_as_many_epochs_as_were_best(monkeypatch):
+    rng = np.random.default_rng(6)
+    noise = [(rng.normal(size=(3, 4)), rng.normal(size=(5, 4)), np.array([1, 0, 0, 0, 0])) for _ in range(30)]
+    sizes, real = [], neural.Samples.batch
+    monkeypatch.setattr(neural.Samples, "batch", lambda x, rows, *how: sizes.append((len(x.key), len(rows))) or real(x, rows, *how))
+    how = {"size": 8, "heads": 2, "epochs": 40, "rate": 1e-2, "patience": 2, "batch": 5}
+    w, losses = neural.train(noise[:20], 4, held_out=noise[20:], **how)
+    seen = [sum(n for all_, n in sizes if all_ == size) for size in (20, 30)]
+    assert seen == [20 * (len(losses) + 2), 30 * len(losses)]
+    again, _ = neural.train(noise[:20] + noise[20:], 4, **how | {"epochs": len(losses)})
+    assert len(w.arrays()) == len(again.arrays()) and neural.sample_auc(w, noise) > 0.5
