@@ -7,6 +7,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
+from newsloom.functions import tape
 from newsloom.operators import bootstrap, features, lambdamart, list_features, neural, together
 from newsloom.operators.history import recent_history
 
@@ -178,3 +179,15 @@ def test_neural_weights_are_learned_of_all_samples_for_as_many_epochs_as_were_be
     assert seen == [20 * (len(losses) + 2), 30 * len(losses)]
     again, _ = neural.train(noise[:20] + noise[20:], 4, **how | {"epochs": len(losses)})
     assert len(w.arrays()) == len(again.arrays()) and neural.sample_auc(w, noise) > 0.5
+
+
+def test_gradients_of_repeated_rows_are_added_up():
+    """Of rows taken never, a few times and often; `at` may have any shape."""
+    rng = np.random.default_rng(2)
+    at = np.concatenate([np.zeros(3 * tape.FEW, int), np.full(tape.FEW, 4), rng.integers(2, 7, 12), [1, 8, 8, 8]]).reshape(4, -1)
+    rows = tape.Var(rng.normal(size=(10, 3)))
+    g = rng.normal(size=(*at.shape, 3))
+    want = np.zeros((10, 3))
+    np.add.at(want, at, g)
+    tape.backward(tape.take(rows, at), g)
+    assert np.allclose(rows.grad, want) and not rows.grad[[7, 9]].any()
